@@ -1,9 +1,13 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import minhash
+from . import minhash, mixing, qualityrules, rulefit, urlfilter
 
 QUERIES = {
     "op1_near_dedup": minhash.query,
+    "op2_url_filter": urlfilter.query,
+    "op6_mixing": mixing.query,
+    "op9_quality_rules": qualityrules.query,
+    "op10_quality_classifier": rulefit.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": urlfilter.ORACLE, "op6_mixing": mixing.ORACLE}
