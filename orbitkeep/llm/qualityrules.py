@@ -25,10 +25,12 @@ RATIOS = {
     "symbols": ("n_symbols", "n_words", 100),
     "word_length": ("word_chars", "n_words", 1500),
     "dup_lines": ("n_dup_lines", "n_lines", 400),
-    "repeats": ("n_repeat_words", "n_words", 150),
+    "repeats": ("n_repeat_words", "n_words", 200),
 }
 #: Quartile distances from the upper quartile to the fence.
 WIDTH = 3
+#: A mean over n words scatters by 1 / sqrt(n): what the fence of the word length is wider by, times sqrt(n).
+SCATTER = 4000.0
 MIN_GROUP = 200
 #: Fences broadcast at most; beyond that, a salted join.
 BROADCAST_ROWS = 200_000
@@ -99,7 +101,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     fits = F.lit(True)
     for k, (num, den, _) in RATIOS.items():
-        fits = fits & F.coalesce(_rounded(num, den) <= F.col(f"fence_{k}"), F.lit(True))
+        room = SCATTER / F.sqrt("n_words") if k == "word_length" else F.lit(0.0)
+        fits = fits & F.coalesce(_rounded(num, den) <= F.col(f"fence_{k}") + room, F.lit(True))
     return rows.withColumns({"base_failed": failed, "kept": ~failed & fits}).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[f"fence_{k}" for k in RATIOS])
 
 
