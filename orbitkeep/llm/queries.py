@@ -1,10 +1,12 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import minhash, mixing, qualityrules, rulefit, urlfilter
+from . import bpe, minhash, mixing, qualityrules, rulefit, syncmers, urlfilter
 
 QUERIES = {
     "op1_near_dedup": minhash.query,
     "op2_url_filter": urlfilter.query,
+    "op3_fingerprints": syncmers.query,
+    "op5_bpe": bpe.query,
     "op6_mixing": mixing.query,
     "op9_quality_rules": qualityrules.query,
     "op10_quality_classifier": rulefit.query,
