@@ -16,7 +16,9 @@ How hot groups are kept cheap, without losing a link:
 * for the rest, a class that shares c of its n shingles with other classes can
   only link to a class of at most c * (t + 1) / t - n shingles, where t is the
   threshold; this exact bound removes the many almost-similar members of a
-  family; what then remains is compared pair by pair, across components only.
+  family; those that remain are compared with the centre that shares the most,
+  and at last, across components only, with all that share one of the rarest
+  shingles (prefix filtering, exact as well).
 
 Pairs are confirmed by intersecting their full sets of 64-bit shingle hashes.
 """
@@ -29,15 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .components import components
+from .linking import bounded, labelled, link_members
 from .scratch import Scratch
 
 SIDE, PER_KEY = 16, 4
-#: Class ids broadcast at most (16 bytes each); beyond that, a shuffled join.
-BROADCAST_ROWS = 500_000
-#: Estimate from FRAGMENTS one-byte minhash fragments under which a pair at the threshold is found with probability below 1e-9.
 FRAGMENTS = SIDE * PER_KEY * 2
-SLACK = 0.21
 
 _rng = np.random.default_rng(0x7E45)
 _XOR = _rng.integers(0, 1 << 63, FRAGMENTS, dtype=np.uint64)
@@ -113,39 +111,6 @@ def _full_sets(batches):
                 )
 
 
-def _estimate(least: float):
-    def run(batches):
-        for x in batches:
-            if x.num_rows:
-                p, q = (np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint8).reshape(-1, FRAGMENTS) for k in (2, 3))
-                same = ((p == q).mean(axis=1) * 256 - 1) / 255  # unequal minima share a byte once in 256
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(same)], names=["a", "b", "likeness"]).filter(pa.array(same >= least))
-
-    return run
-
-
-def _confirm(num: int, den: int):
-    def run(batches):
-        for x in batches:
-            ok = np.zeros(x.num_rows, bool)
-            cols = [x.column(k) for k in (2, 3)]
-            values = [c.values.to_numpy(zero_copy_only=False) for c in cols]
-            offsets = [c.offsets.to_numpy() for c in cols]
-            for r in range(x.num_rows):
-                p, q = (v[o[r] : o[r + 1]] for v, o in zip(values, offsets, strict=True))
-                all_ = np.sort(np.concatenate([p, q]))
-                both = int(np.count_nonzero(all_[1:] == all_[:-1]))
-                ok[r] = den * both >= num * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(ok))
-
-    return run
-
-
-def bounded(df: DataFrame, n_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows are within the bound."""
-    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
-
-
 def _buckets(signed: DataFrame) -> DataFrame:
     """(key, cls) of the buckets of all tables that hold two classes or more."""
     full = signed.filter("n > 0")
@@ -160,63 +125,6 @@ def _buckets(signed: DataFrame) -> DataFrame:
     return keyed.join(multi, "key")
 
 
-class _Linker:
-    """Confirmed links between classes so far, as labels (node, component)."""
-
-    def __init__(self, sets: DataFrame, scratch: Scratch, num: int, den: int):
-        self.sets, self.scratch, self.num, self.den = sets, scratch, num, den
-        self.labels = None
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, likeness) of the pairs whose fragments leave the threshold possible."""
-        marks = self.sets.select("cls", "marks")
-        both = pairs.join(marks.toDF("a", "ma"), "a").join(marks.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
-        return self.scratch.save(both.mapInArrow(_estimate(self.num / self.den - SLACK), "a long, b long, likeness double"))
-
-    def confirm(self, pairs: DataFrame) -> None:
-        sets = self.sets.select("cls", "hashes")
-        both = pairs.select("a", "b").join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
-        links = both.mapInArrow(_confirm(self.num, self.den), "a long, b long")
-        if self.labels is not None:
-            links = links.union(self.labels.toDF("a", "b"))
-        old, self.labels = self.labels, self.scratch.save(components(links, self.scratch))
-        self.scratch.drop(old)
-
-    def labelled(self, df: DataFrame, node: str, name: str) -> DataFrame:
-        own = df.join(self.labels.toDF(node, name), node, "left")
-        return own.withColumn(name, F.coalesce(name, node))
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends are not in one component yet."""
-        return self.labelled(self.labelled(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select(*pairs.columns)
-
-    def still_open(self, members: DataFrame) -> DataFrame:
-        """Members, with comp, of the buckets that hold several components."""
-        rows = self.labelled(members.drop("comp"), "cls", "comp")
-        several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        return self.scratch.save(rows.join(several, "key"))
-
-
-def _fits(num: int, den: int) -> str:
-    """Whether classes a and b can be linked, by the shingles that they share with others at all."""
-    return f"a.comp <> b.comp AND {den + num} * least(a.c, b.c) >= {num} * (a.n + b.n)"
-
-
-def _possible(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """Members (key, cls, comp, n, c) without those that no other member can be linked to."""
-    own = scratch.save(members.select("cls", "comp").distinct())
-    hashes = own.join(sets.select("cls", "hashes"), "cls").select("cls", "comp", F.explode("hashes").alias("h"))
-    shared = hashes.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
-    c = scratch.save(hashes.join(shared, "h", "left_semi").groupBy("cls").agg(F.count("*").alias("c")).join(sets.select("cls", "n"), "cls"))
-    rows = members.join(c, "cls")
-    for _ in range(3):
-        rows = rows.withColumns({"most": F.expr(f"c * {num + den} / {num} - n"), "least": F.expr(f"n * {num} / {den}")}).filter("least <= c AND least <= most")
-        span = rows.groupBy("key").agg(F.min("n").alias("small"), F.max("n").alias("large"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        rows = scratch.save(rows.join(span, "key").filter("least <= large AND most >= small").select("key", "cls", "comp", "n", "c"))
-    scratch.drop(own, c)
-    return rows
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``.
 
@@ -235,27 +143,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = scratch.save(members.select("cls").distinct().join(signed.select("cls", "id"), "cls").groupBy("cls").agg(F.min("id").alias("id")))
     text = docs.join(bounded(candidates, candidates.count()), docs["id"].eqNullSafe(candidates["id"])).select("cls", "text")
     sets = scratch.save(text.mapInArrow(_full_sets, "cls long, n long, hashes array<long>, marks binary").dropDuplicates(["cls"]))
-    link = _Linker(sets, scratch, num, den)
-
-    # one centre a bucket; each class tries its likeliest centre before the others
-    centre = members.groupBy("key").agg(F.min("cls").alias("a"))
-    star = link.near(members.withColumnRenamed("cls", "b").join(centre, "key").filter("a <> b").select("a", "b").distinct())
-    link.confirm(star.groupBy("b").agg(F.max_by("a", "likeness").alias("a")))
-    link.confirm(link.apart(star.select("a", "b")))
-    rest = link.still_open(members)
-    scratch.drop(members, star)
-
-    # what can still be linked, first by the centre that shares the most
-    rest = _possible(rest, sets, scratch, num, den)
-    centre = rest.groupBy("key").agg(F.max_by(F.struct("cls", "comp", "n", "c"), F.expr("struct(c / n, -cls)")).alias("x")).select("key", "x.*")
-    star = centre.alias("a").join(rest.alias("b"), "key").filter(_fits(num, den)).select(F.expr("least(a.cls, b.cls) a"), F.expr("greatest(a.cls, b.cls) b")).distinct()
-    link.confirm(link.near(star))
-    rest = link.still_open(rest)
-    pairs = rest.alias("a").join(rest.alias("b"), "key").filter(f"a.cls < b.cls AND {_fits(num, den)}").select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
-    link.confirm(link.near(pairs))
+    link = link_members(members, sets, scratch, num, den)
 
     # documents: the smallest id of each component
-    grouped = link.labelled(signed.filter("n > 0").select("id", "n", F.col("cls")), "cls", "comp")
+    grouped = labelled(signed.filter("n > 0").select("id", "n", "cls"), link, "cls", "comp")
     least = grouped.groupBy("comp").agg(F.min("id").alias("component_id"))
     linked = grouped.join(least, "comp").select("id", "n", "component_id")
     alone = signed.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import bpe, minhash, mixing, qualityrules, rulefit, syncmers, urlfilter
+from . import bpe, linededup, minhash, mixing, qualityrules, rulefit, syncmers, urlfilter
 
 QUERIES = {
     "op1_near_dedup": minhash.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_fingerprints": syncmers.query,
     "op5_bpe": bpe.query,
     "op6_mixing": mixing.query,
+    "op8_line_dedup": linededup.query,
     "op9_quality_rules": qualityrules.query,
     "op10_quality_classifier": rulefit.query,
 }
