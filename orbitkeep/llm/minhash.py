@@ -155,3 +155,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` whose document is kept, as they are; of rows with one id, one stays.
+
+    Rows of a null id cannot be told apart and stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, num, den).filter(F.col("doc_id").isNotNull())
+    gone = Scratch(docs.sparkSession).save(found.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct())
+    left = docs.join(bounded(gone, gone.count()), F.col(id_col) == F.col("_id"), "left_anti")
+    twice = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("n")).filter("n > 1").select("_id")
+    if not twice.limit(1).count():
+        return left
+    same = F.col(id_col) == F.col("_id")
+    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates([id_col]))
