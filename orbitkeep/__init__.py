@@ -1,0 +1 @@
+"""Analytics over replicated key/value object stores, as Spark DataFrames."""
