@@ -1,0 +1 @@
+"""Structured Streaming twins of the operators that follow a log."""
