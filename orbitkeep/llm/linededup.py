@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .linking import bounded, labelled, link_members
+from .linking import bounded, labelled, link_members, one_each
 from .scratch import Scratch
 
 SIZE = 8
@@ -133,25 +133,31 @@ def _shared(batches):
         yield cut(key, cls)
 
 
-def _line_sets(batches):
-    """(cls, n, hashes, marks) of the lines wanted from each text."""
+def gram_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct shingles of whole lines."""
+    grams, cuts = line_shingles(data, offsets[:-1], offsets[1:])
+    return [np.unique(grams[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _line_bodies(batches):
+    """(cls, n, body, marks) of the lines wanted from each text."""
     for batch in batches:
         wanted = batch.column(1)
         for i, j, data, offsets in tc.chunks(batch.column(0)):
             row, _, starts, ends = lines(data, offsets)
             cls = tc.span_hashes(data, starts, ends).view(np.int64)
             asked = {(r, c) for r, own in enumerate(wanted.slice(i, j - i).to_pylist()) for c in own}
-            at = [k for k, x in enumerate(zip(row.tolist(), cls.tolist(), strict=True)) if x in asked]
+            at = []
+            for k, x in enumerate(zip(row.tolist(), cls.tolist(), strict=True)):
+                if x in asked:
+                    asked.discard(x)
+                    at.append(k)
             if at:
                 grams, cuts = line_shingles(data, starts[at], ends[at])
                 marks = (tc.mix(signatures(grams, cuts)) & np.uint64(255)).astype(np.uint8)
-                sets = [np.unique(grams[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                sizes = np.array([len(s) for s in sets])
-                offs = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls[at]), pa.array(sizes), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(sets).view(np.int64))), pa.array([m.tobytes() for m in marks], pa.binary())],
-                    names=["cls", "n", "hashes", "marks"],
-                )
+                n = [len(np.unique(grams[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                bodies = [data[starts[k] : ends[k]].tobytes() for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(n, pa.int64()), pa.array(bodies, pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())], names=["cls", "n", "body", "marks"])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,8 +171,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     candidates = members.select("cls").distinct().join(found, "cls").groupBy("cls").agg(F.min("id").alias("id"))
     wanted = scratch.save(candidates.groupBy("id").agg(F.collect_list("cls").alias("wanted")))
     text = docs.join(bounded(wanted.withColumnRenamed("id", "_id"), wanted.count()), F.col("id").eqNullSafe(F.col("_id"))).select("text", "wanted")
-    sets = scratch.save(text.mapInArrow(_line_sets, "cls long, n long, hashes array<long>, marks binary").dropDuplicates(["cls"]))
-    labels = link_members(members, sets, scratch, NUM, DEN)
+    sets = one_each(text.mapInArrow(_line_bodies, "cls long, n long, body binary, marks binary"), scratch)
+    labels = link_members(members, sets, gram_sets, scratch, NUM, DEN)
     scratch.drop(sets, wanted)
     own = labelled(found, labels, "cls", "comp").select("id", "line", "comp")
     firsts = own.groupBy("comp").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("comp", "first")

@@ -1,8 +1,10 @@
 """Components of classes that share a bucket, by exact similarity of their sets.
 
-Works on members (key, cls) of buckets and sets (cls, n, hashes, marks), where
-marks are one-byte fragments of minhashes.  A pair is linked if den * |A and B|
->= num * |A or B|.
+Works on members (key, cls) of buckets and sets (cls, n, body, marks): body is
+the text that a set is made from, a fraction of the size of the set's hashes,
+and marks are one-byte fragments of minhashes.  ``decode`` turns the bytes of
+many bodies and their offsets into sorted arrays of distinct hashes.  A pair is
+linked if den * |A and B| >= num * |A or B|.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textcore as tc
 from .components import components
 from .scratch import Scratch
 
@@ -19,6 +22,8 @@ from .scratch import Scratch
 BROADCAST_ROWS = 500_000
 #: How far under the threshold an estimate from marks may be: at 0.8 and 64 marks or more, a linked pair is further off with probability below 1e-5.
 SLACK = 0.21
+#: Pairs or bodies whose sets a task holds at once.
+PAIRS = 256
 
 
 def bounded(df: DataFrame, n_rows: int) -> DataFrame:
@@ -37,19 +42,37 @@ def _estimate(least: float):
     return run
 
 
-def _confirm(num: int, den: int):
+def _sets_of(column: pa.Array, decode) -> list[np.ndarray]:
+    """The sets of a column of bodies."""
+    out: list[np.ndarray] = []
+    for _, _, data, offsets in tc.chunks(column):
+        out += decode(data, offsets)
+    return out
+
+
+def _confirm(num: int, den: int, decode):
     def run(batches):
-        for x in batches:
-            ok = np.zeros(x.num_rows, bool)
-            cols = [x.column(k) for k in (2, 3)]
-            values = [c.values.to_numpy(zero_copy_only=False) for c in cols]
-            offsets = [c.offsets.to_numpy() for c in cols]
-            for r in range(x.num_rows):
-                p, q = (v[o[r] : o[r + 1]] for v, o in zip(values, offsets, strict=True))
-                all_ = np.sort(np.concatenate([p, q]))
-                both = int(np.count_nonzero(all_[1:] == all_[:-1]))
-                ok[r] = den * both >= num * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(ok))
+        for batch in batches:
+            for i in range(0, batch.num_rows, PAIRS):
+                x = batch.slice(i, PAIRS)
+                ok = np.zeros(x.num_rows, bool)
+                for r, (p, q) in enumerate(zip(_sets_of(x.column(2), decode), _sets_of(x.column(3), decode), strict=True)):
+                    both = np.sort(np.concatenate([p, q]))
+                    same = int(np.count_nonzero(both[1:] == both[:-1]))
+                    ok[r] = den * same >= num * (len(p) + len(q) - same)
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def _hash_rows(decode):
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, PAIRS):
+                x = batch.slice(i, PAIRS)
+                sets = _sets_of(x.column(1), decode)
+                cls = np.repeat(x.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.concatenate(sets).view(np.int64))], names=["cls", "h"])
 
     return run
 
@@ -62,8 +85,8 @@ def labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFram
 class Linker:
     """Confirmed links between classes so far, as labels (node, component)."""
 
-    def __init__(self, sets: DataFrame, scratch: Scratch, num: int, den: int):
-        self.sets, self.scratch, self.num, self.den = sets, scratch, num, den
+    def __init__(self, sets: DataFrame, decode, scratch: Scratch, num: int, den: int):
+        self.sets, self.decode, self.scratch, self.num, self.den = sets, decode, scratch, num, den
         self.labels = None
 
     def near(self, pairs: DataFrame) -> DataFrame:
@@ -73,9 +96,9 @@ class Linker:
         return self.scratch.save(both.mapInArrow(_estimate(self.num / self.den - SLACK), "a long, b long, likeness double"))
 
     def confirm(self, pairs: DataFrame) -> None:
-        sets = self.sets.select("cls", "hashes")
-        both = pairs.select("a", "b").join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
-        links = both.mapInArrow(_confirm(self.num, self.den), "a long, b long")
+        bodies = self.sets.select("cls", "body")
+        both = pairs.select("a", "b").join(bodies.toDF("a", "pa"), "a").join(bodies.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
+        links = both.mapInArrow(_confirm(self.num, self.den, self.decode), "a long, b long")
         if self.labels is not None:
             links = links.union(self.labels.toDF("a", "b"))
         old, self.labels = self.labels, self.scratch.save(components(links, self.scratch))
@@ -85,8 +108,17 @@ class Linker:
         """The pairs whose ends are not in one component yet."""
         return labelled(labelled(pairs, self.labels, "a", "ca"), self.labels, "b", "cb").filter("ca <> cb").select(*pairs.columns)
 
-    def still_open(self, members: DataFrame) -> DataFrame:
-        """Members, with comp, of the buckets that hold several components."""
+    def hash_rows(self, own: DataFrame) -> DataFrame:
+        """(cls, h): the hashes of the classes in ``own``."""
+        return own.select("cls").join(self.sets.select("cls", "body"), "cls").mapInArrow(_hash_rows(self.decode), "cls long, h long")
+
+    def still_open(self, members: DataFrame, centres: DataFrame) -> DataFrame:
+        """Members, with comp, of the buckets that hold several components besides their centre.
+
+        The centre (key, centre) has been compared with every other member, so
+        it is done; most buckets, of two, are done with it.
+        """
+        members = members.join(centres, "key").filter("cls <> centre").drop("centre")
         rows = labelled(members.drop("comp"), self.labels, "cls", "comp")
         several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
         return self.scratch.save(rows.join(several, "key"))
@@ -97,12 +129,13 @@ def _fits(num: int, den: int) -> str:
     return f"a.comp <> b.comp AND {den + num} * least(a.c, b.c) >= {num} * (a.n + b.n)"
 
 
-def _possible(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+def _possible(members: DataFrame, link: Linker) -> DataFrame:
     """Members (key, cls, comp, n, c) without those that no other member can be linked to."""
+    num, den, scratch = link.num, link.den, link.scratch
     own = scratch.save(members.select("cls", "comp").distinct())
-    hashes = own.join(sets.select("cls", "hashes"), "cls").select("cls", "comp", F.explode("hashes").alias("h"))
+    hashes = link.hash_rows(own).join(own, "cls")
     shared = hashes.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
-    c = scratch.save(hashes.join(shared, "h", "left_semi").groupBy("cls").agg(F.count("*").alias("c")).join(sets.select("cls", "n"), "cls"))
+    c = scratch.save(hashes.join(shared, "h", "left_semi").groupBy("cls").agg(F.count("*").alias("c")).join(link.sets.select("cls", "n"), "cls"))
     rows = members.join(c, "cls")
     for _ in range(3):
         rows = rows.withColumns({"most": F.expr(f"c * {num + den} / {num} - n"), "least": F.expr(f"n * {num} / {den}")}).filter("least <= c AND least <= most")
@@ -112,7 +145,7 @@ def _possible(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, d
     return rows
 
 
-def _prefix_pairs(own: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+def _prefix_pairs(own: DataFrame, link: Linker) -> DataFrame:
     """Pairs (a, b) of different components that can reach the threshold: prefix filtering with positions.
 
     With each set ordered from its rarest shingle, a linked pair shares one among
@@ -120,34 +153,45 @@ def _prefix_pairs(own: DataFrame, sets: DataFrame, scratch: Scratch, num: int, d
     shingles are left in both.  Pairs within the largest component of a shingle
     are never looked at.
     """
-    hashes = own.join(sets.select("cls", "n", "hashes"), "cls").select("cls", "comp", "n", F.explode("hashes").alias("h"))
+    num, den = link.num, link.den
+    hashes = link.hash_rows(own).join(own.join(link.sets.select("cls", "n"), "cls"), "cls")
     counts = hashes.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("df"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "h")) - 1
     first = hashes.join(counts, "h").withColumn("at", place).filter(f"{den} * at <= {den} * n - {num} * n AND lo < hi")
-    first = scratch.save(first.select("h", "cls", "comp", "n", "at", (F.col("comp") == F.col("main")).alias("in_main")))
+    first = link.scratch.save(first.select("h", "cls", "comp", "n", "at", (F.col("comp") == F.col("main")).alias("in_main")))
     fits = f"least(a.n - a.at, b.n - b.at) * {den + num} >= {num} * (a.n + b.n) AND {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"
     pairs = first.filter("NOT in_main").alias("a").join(first.alias("b"), "h").filter(f"a.comp <> b.comp AND (b.in_main OR a.cls < b.cls) AND {fits}")
     return pairs.select(F.expr("least(a.cls, b.cls) a"), F.expr("greatest(a.cls, b.cls) b")).distinct()
 
 
-def link_members(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+def link_members(members: DataFrame, sets: DataFrame, decode, scratch: Scratch, num: int, den: int) -> DataFrame:
     """Labels (node, component) of the classes that are linked to others; deletes ``members``."""
-    link = Linker(sets, scratch, num, den)
+    link = Linker(sets, decode, scratch, num, den)
     # one centre a bucket; each class tries its likeliest centre before the others
-    centre = members.groupBy("key").agg(F.min("cls").alias("a"))
-    star = link.near(members.withColumnRenamed("cls", "b").join(centre, "key").filter("a <> b").select("a", "b").distinct())
+    centres = members.groupBy("key").agg(F.min("cls").alias("centre"))
+    star = link.near(members.join(centres, "key").filter("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct())
     link.confirm(star.groupBy("b").agg(F.max_by("a", "likeness").alias("a")))
     link.confirm(link.apart(star.select("a", "b")))
-    rest = link.still_open(members)
+    rest = link.still_open(members, centres)
     scratch.drop(members, star)
 
     # what can still be linked, first by the centre that shares the most
-    rest = _possible(rest, sets, scratch, num, den)
+    rest = _possible(rest, link)
     centre = rest.groupBy("key").agg(F.max_by(F.struct("cls", "comp", "n", "c"), F.expr("struct(c / n, -cls)")).alias("x")).select("key", "x.*")
     star = centre.alias("a").join(rest.alias("b"), "key").filter(_fits(num, den)).select(F.expr("least(a.cls, b.cls) a"), F.expr("greatest(a.cls, b.cls) b")).distinct()
     link.confirm(link.near(star))
     # and then exactly: all that share a rare enough shingle
-    rest = link.still_open(rest)
-    link.confirm(link.near(_prefix_pairs(rest.select("cls", "comp").distinct(), sets, scratch, num, den)))
+    rest = link.still_open(rest, centre.select("key", F.col("cls").alias("centre")))
+    link.confirm(link.near(_prefix_pairs(rest.select("cls", "comp").distinct(), link)))
     scratch.drop(rest)
     return link.labels
+
+
+def one_each(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The saved table of sets, each class once (a class is there twice only where ids repeat)."""
+    saved = scratch.save(sets)
+    if saved.select("cls").distinct().count() == saved.count():
+        return saved
+    out = scratch.save(saved.dropDuplicates(["cls"]))
+    scratch.drop(saved)
+    return out

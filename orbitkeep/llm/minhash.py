@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .linking import bounded, labelled, link_members
+from .linking import bounded, labelled, link_members, one_each
 from .scratch import Scratch
 
 SIDE, PER_KEY = 16, 4
@@ -94,21 +94,19 @@ def _signatures(batches):
             )
 
 
-def _full_sets(batches):
-    """Sets and minhash fragments of the rows whose text has the class that it was asked for."""
+def _marked(batches):
+    """Minhash fragments and sizes of the texts that have the class they were asked for."""
     for batch in batches:
         for i, j, data, offsets in tc.chunks(batch.column(1)):
-            asked = batch.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
-            sets = [(c, s) for c, s in zip(asked, tc.shingle_sets(data, offsets), strict=True) if class_key(s) == c]
-            if sets:
-                cls, sets = zip(*sets, strict=True)
-                keys = np.concatenate([minhashes(list(sets[p:q])) for p, q in _groups(sets)])
+            asked, body = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
+            sets = tc.shingle_sets(data, offsets)
+            right = np.flatnonzero([class_key(s) == c for s, c in zip(sets, asked.to_pylist(), strict=True)])
+            if len(right):
+                own = [sets[k] for k in right]
+                keys = np.concatenate([minhashes(own[p:q]) for p, q in _groups(own)])
                 marks = (tc.mix(keys) & np.uint64(255)).astype(np.uint8)
-                at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64))), pa.array([m.tobytes() for m in marks], pa.binary())],
-                    names=["cls", "n", "hashes", "marks"],
-                )
+                at = pa.array(right)
+                yield pa.RecordBatch.from_arrays([asked.take(at), pa.array([len(s) for s in own], pa.int64()), body.take(at), pa.array([m.tobytes() for m in marks], pa.binary())], names=["cls", "n", "body", "marks"])
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
@@ -141,9 +139,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = scratch.save(docs.mapInArrow(_signatures, "id long, n long, cls long, left array<long>, right array<long>"))
     members = scratch.save(_buckets(signed))
     candidates = scratch.save(members.select("cls").distinct().join(signed.select("cls", "id"), "cls").groupBy("cls").agg(F.min("id").alias("id")))
-    text = docs.join(bounded(candidates, candidates.count()), docs["id"].eqNullSafe(candidates["id"])).select("cls", "text")
-    sets = scratch.save(text.mapInArrow(_full_sets, "cls long, n long, hashes array<long>, marks binary").dropDuplicates(["cls"]))
-    link = link_members(members, sets, scratch, num, den)
+    text = docs.join(bounded(candidates, candidates.count()), docs["id"].eqNullSafe(candidates["id"])).select("cls", F.col("text").cast("binary").alias("body"))
+    sets = one_each(text.mapInArrow(_marked, "cls long, n long, body binary, marks binary"), scratch)
+    link = link_members(members, sets, tc.shingle_sets, scratch, num, den)
 
     # documents: the smallest id of each component
     grouped = labelled(signed.filter("n > 0").select("id", "n", "cls"), link, "cls", "comp")

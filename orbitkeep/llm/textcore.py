@@ -48,10 +48,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and the n + 1 offsets of its rows; nulls are empty."""
+    """The bytes of a string or binary column and the n + 1 offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_binary()).fill_null(b"")
     _, at, data = column.buffers()
     n = len(column)
     offsets = np.frombuffer(at, np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
