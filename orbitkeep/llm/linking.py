@@ -137,10 +137,10 @@ def _possible(members: DataFrame, link: Linker) -> DataFrame:
     shared = hashes.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
     c = scratch.save(hashes.join(shared, "h", "left_semi").groupBy("cls").agg(F.count("*").alias("c")).join(link.sets.select("cls", "n"), "cls"))
     rows = members.join(c, "cls")
-    for _ in range(3):
-        rows = rows.withColumns({"most": F.expr(f"c * {num + den} / {num} - n"), "least": F.expr(f"n * {num} / {den}")}).filter("least <= c AND least <= most")
-        span = rows.groupBy("key").agg(F.min("n").alias("small"), F.max("n").alias("large"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        rows = scratch.save(rows.join(span, "key").filter("least <= large AND most >= small").select("key", "cls", "comp", "n", "c"))
+    rows = rows.withColumns({"most": F.expr(f"c * {num + den} / {num} - n"), "least": F.expr(f"n * {num} / {den}")}).filter("least <= c AND least <= most")
+    # once: further rounds remove a tenth of what is left, and the prefixes do that too
+    span = rows.groupBy("key").agg(F.min("n").alias("small"), F.max("n").alias("large"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    rows = scratch.save(rows.join(span, "key").filter("least <= large AND most >= small").select("key", "cls", "comp", "n", "c"))
     scratch.drop(own, c)
     return rows
 
