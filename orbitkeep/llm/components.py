@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _is_forest_of_stars(links: DataFrame) -> bool:
-    twice = links.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    return not twice and not links.select("a").join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
+def _is_forest_of_stars(links: DataFrame, scratch: Scratch) -> bool:
+    twice = scratch.count(links.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").limit(1))
+    return not twice and not scratch.count(links.select("a").join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1))
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -28,7 +28,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     now = scratch.save(links.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
-    while not _is_forest_of_stars(now):
+    while not _is_forest_of_stars(now, scratch):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).distinct()

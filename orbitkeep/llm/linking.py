@@ -190,7 +190,7 @@ def link_members(members: DataFrame, sets: DataFrame, decode, scratch: Scratch,
 def one_each(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """The saved table of sets, each class once (a class is there twice only where ids repeat)."""
     saved = scratch.save(sets)
-    if saved.select("cls").distinct().count() == saved.count():
+    if scratch.count(saved.select("cls").distinct()) == saved.count():
         return saved
     out = scratch.save(saved.dropDuplicates(["cls"]))
     scratch.drop(saved)

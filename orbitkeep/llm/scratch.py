@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,13 +22,29 @@ class Scratch:
         self.base = f"{base or tempfile.mkdtemp(prefix='orbitkeep-')}/tables-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
 
+    @contextmanager
+    def _leaving_no_shuffle_files(self):
+        """What runs within needs its shuffle files no longer when it ends; else they stay until the driver's garbage is collected."""
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
+
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with self._leaving_no_shuffle_files():
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out
 
+    def count(self, df: DataFrame) -> int:
+        with self._leaving_no_shuffle_files():
+            return df.count()
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that nothing will read again."""
         jvm = self.spark.sparkContext._jvm
