@@ -53,7 +53,7 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each span of bytes the places and 32-bit hashes of its closed syncmers; a span too short for one is one anchor itself."""
+    """For each span of bytes the places and 32-bit hashes of its closed syncmers; a span without one (under K bytes, or up to 2 * K - S - 1 bytes by chance) is one anchor itself."""
     out = []
     if len(data) >= K:
         small = _rolling(data, S)
