@@ -154,3 +154,40 @@ def test_licenses_in_texts(spark):
     assert [r.license for r in got[-4:]] == [None, None, None, "MIT notice"]
     assert got[-4].coverage == 0.0 and got[-4].first_word is None
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_licenses_wherever_their_words_stand():
+    rng = random.Random(10)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    names = lambda text: [x[0] for x in scanner.carried(scanner.scan(text))]
+    long = {k: t.split() for k, t in licenses.TEMPLATES.items() if len(t.split()) >= licenses.SPREAD}
+    for name, words in long.items():
+        seeds = {w for w, own in scanner.seeds.items() if name in [x[0] for x in own]}
+        half = len(words) // 2
+        assert names(" ".join(words)) == [name]
+        assert names(" ".join([*words[:half], *(f"x{i}" for i in range(3 * len(words))), *words[half:]])) == [name]
+        # a foreign word may stand for the one that another variant has there: that one is named after it
+        met = scanner.carried(scanner.scan(" ".join(x for w in words for x in (w, f"y{rng.randrange(99)}"))))
+        assert [x[0] for x in met if x[1] == 1.0] == [name]
+        if name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+            left = [w for w in words if not set(licenses.words_of(w)) & seeds]
+            assert len(left) < len(words) and names(" ".join(left)) == [name]
+    mit = long["MIT"]
+    assert names(" ".join(mit[: mit.index("THE")])) == []
+    for _ in range(60):
+        name = rng.choice(sorted(long))
+        words = [w for w in long[name] for w in ([w] if rng.random() < 0.8 else [])]
+        for _ in range(rng.randrange(80)):
+            words.insert(rng.randrange(len(words)), rng.choice(["the", "of", "software", "z", "copyright"]))
+        got = {x[0]: x[1] for x in scanner.scan(" ".join(words))}
+        a, b = licenses.words_of(" ".join(words)), scanner.templates[name]
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(row[j + 1], new[j], row[j] + (x == y)))
+            row = new
+        if row[-1] / len(b) >= scanner.least:
+            assert got[name] == row[-1] / len(b)
+        else:
+            assert got.get(name, 0.0) <= row[-1] / len(b)
