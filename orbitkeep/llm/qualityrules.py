@@ -1,7 +1,11 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 Fixed cut-offs misjudge languages and sources that differ; here each ratio gets
-an upper fence from the quantiles of its own language and source.  Quantiles
+an upper fence from the quantiles of its own language and source, and the word
+length a lower one too.  A fence stands ``WIDTH`` quartile distances outside the
+quartiles; where these are equal, the upper fence stands at the quantile
+``high`` and the lower one at its mirror, each moved by the ratio's least width,
+which only absorbs rounding and single occurrences.  Quantiles
 come from mergeable sketches: counts of values rounded to three significant
 digits (relative error below one hundredth), so that sketches add up exactly in
 any order, source sketches merge into language sketches, and reruns agree.
@@ -20,13 +24,15 @@ from pyspark.sql import functions as F
 from . import textstats as ts
 from .scratch import Scratch
 
-#: Ratios in thousandths: (numerator, denominator, least width of the fence above the upper quartile).
+#: Ratios in thousandths: (numerator, denominator, least width of the fence outside the quantile).
 RATIOS = {
-    "symbols": ("n_symbols", "n_words", 100),
-    "word_length": ("word_chars", "n_words", 1500),
-    "dup_lines": ("n_dup_lines", "n_lines", 400),
-    "repeats": ("n_repeat_words", "n_words", 200),
+    "symbols": ("n_symbols", "n_words", 20),
+    "word_length": ("word_chars", "n_words", 300),
+    "dup_lines": ("n_dup_lines", "n_lines", 50),
+    "repeats": ("n_repeat_words", "n_words", 20),
 }
+#: The quantiles of a sketch in hundredths: quartiles, and those that stand in for equal ones.
+QUANTILES = {"q1": 25, "q3": 75, "low": 10, "high": 90}
 #: Quartile distances from the upper quartile to the fence.
 WIDTH = 3
 #: A mean over n words scatters by 1 / sqrt(n): what the fence of the word length is wider by, times sqrt(n).
@@ -53,28 +59,32 @@ def _rounded(num: str, den: str):
     return v - v % unit
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, ratio, total, q1, q3 of sketches summed over keys."""
+def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ratio, total and QUANTILES of sketches summed over keys."""
     merged = sketch.groupBy(*keys, "ratio", "value").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(*keys, "ratio")
     ranked = merged.withColumns({"upto": F.sum("n").over(by.orderBy("value")), "total": F.sum("n").over(by)})
-    first = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("value")))
-    return ranked.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), first(1).alias("q1"), first(3).alias("q3"))
+    first = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("value")))
+    return ranked.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), *[first(q).alias(k) for k, q in QUANTILES.items()])
 
 
 def fences(stats: DataFrame) -> DataFrame:
-    """(lang, source, one fence column per ratio), for every pair that occurs; nulls are a value of their own."""
+    """(lang, source, one fence column per ratio, low_word_length), for every pair that occurs; nulls are a value of their own."""
     values = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), _rounded(n, d).alias("value")) for k, (n, d, _) in RATIOS.items()]))
     sketch = stats.filter("n_words > 0").select("lang", "source", values.alias("x")).groupBy("lang", "source", "x.ratio", "x.value").agg(F.count("*").alias("n"))
     every = sketch.select("lang", "source", "ratio").distinct()
-    at = [_quartiles(sketch, keys).select(*[F.col(k).alias(f"{k}_{i}") for k in [*keys, "ratio", "total", "q1", "q3"]]) for i, keys in enumerate((["lang", "source"], ["lang"], []))]
+    at = [_quantiles(sketch, keys).select(*[F.col(k).alias(f"{k}_{i}") for k in [*keys, "ratio", "total", *QUANTILES]]) for i, keys in enumerate((["lang", "source"], ["lang"], []))]
     on = [F.col(f"lang_{i}").eqNullSafe(F.col("lang")) for i in (0, 1)]
     rows = every.join(at[0], on[0] & F.col("source_0").eqNullSafe(F.col("source")) & (F.col("ratio_0") == F.col("ratio")), "left")
     rows = rows.join(at[1], on[1] & (F.col("ratio_1") == F.col("ratio")), "left").join(F.broadcast(at[2]), F.col("ratio_2") == F.col("ratio"), "left")
     level = lambda q: F.when(F.col("total_0") >= MIN_GROUP, F.col(f"{q}_0")).when(F.col("total_1") >= MIN_GROUP, F.col(f"{q}_1")).otherwise(F.col(f"{q}_2"))
     slack = F.create_map(*[F.lit(x) for k, (_, _, s) in RATIOS.items() for x in (k, s)])
-    fence = level("q3") + F.greatest(WIDTH * (level("q3") - level("q1")), F.try_element_at(slack, F.col("ratio")))
-    return rows.withColumn("fence", fence).groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == k, F.col("fence"))).alias(f"fence_{k}") for k in RATIOS])
+    rows = rows.select("lang", "source", "ratio", *[level(q).alias(q) for q in QUANTILES], F.try_element_at(slack, F.col("ratio")).alias("least"))
+    width = F.greatest(WIDTH * (F.col("q3") - F.col("q1")), F.col("least"))
+    equal = F.col("q3") == F.col("q1")
+    rows = rows.withColumns({"fence": F.when(equal, F.col("high")).otherwise(F.col("q3")) + width, "lower": F.when(equal, F.col("low")).otherwise(F.col("q1")) - width})
+    of = lambda k, c: F.max(F.when(F.col("ratio") == k, F.col(c)))
+    return rows.groupBy("lang", "source").agg(*[of(k, "fence").alias(f"fence_{k}") for k in RATIOS], of("word_length", "lower").alias("low_word_length"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -101,9 +111,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     fits = F.lit(True)
     for k, (num, den, _) in RATIOS.items():
-        room = SCATTER / F.sqrt("n_words") if k == "word_length" else F.lit(0.0)
+        room = SCATTER / F.sqrt(F.greatest("n_words", F.lit(1))) if k == "word_length" else F.lit(0.0)
         fits = fits & F.coalesce(_rounded(num, den) <= F.col(f"fence_{k}") + room, F.lit(True))
-    return rows.withColumns({"base_failed": failed, "kept": ~failed & fits}).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[f"fence_{k}" for k in RATIOS])
+        if k == "word_length":
+            fits = fits & F.coalesce(_rounded(num, den) >= F.col(f"low_{k}") - room, F.lit(True))
+    return rows.withColumns({"base_failed": failed, "kept": ~failed & fits}).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[f"fence_{k}" for k in RATIOS], "low_word_length")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Quality rules against a brute-force count, and odd rows of rules and classifier."""
 
+import random
 import re
 
 from orbitkeep.llm import qualityrules, rulefit
@@ -40,3 +41,48 @@ def test_classifier_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in rulefit.scored(docs, odd).collect())
     assert rulefit.scored(docs.limit(0), odd).count() == 0
     assert rulefit.kept(docs, none).columns == docs.columns
+
+
+def test_verdicts_equal_brute_force_in_groups_with_outliers(spark):
+    rng = random.Random(3)
+
+    def text(k, words=100, lines=10, size=5):
+        made = [f"{k}x{i}".ljust(size, "z")[-size:] if size > 3 else rng.choice("abcdefghijklmnopqrstuvwxyz") for i in range(words)]
+        step = words // lines
+        return "\n".join(" ".join(made[i : i + step]) for i in range(0, words, step))
+
+    rows = []
+    for lang, size, n in (("en", 6, 260), ("de", 9, 240), ("fr", 6, 30)):
+        for k in range(n):
+            own = text(k, size=size)
+            if k < 6:  # 3 of 13 lines are repeats, and 15 of 115 words
+                own = ["\n".join([own, "a b c"] + ["a b c"] * 3), " ".join(["w%d" % i for i in range(85)] + ["p q r s t"] * 2), own + " #####", text(k, size=2), own + " # ", "\n".join(own.split("\n")[:9] + own.split("\n")[:2])][k]
+            rows.append((1000 * len(rows) + k, own, lang, "s", 1, "x"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in qualityrules.judge(docs).collect()}
+
+    def ratios(t):
+        n, chars, symbols, dup, repeats, _ = counts(t)
+        lines = len([x for x in t.split("\n") if x.strip()])
+        whole = {"symbols": 1000 * symbols // n, "word_length": 1000 * chars // n, "dup_lines": 1000 * dup // lines, "repeats": 1000 * repeats // n}
+        return {k: v - v % 10 ** max(len(str(v)) - 3, 0) for k, v in whole.items()}
+
+    dropped = set()
+    for lang in ("en", "de", "fr"):
+        group = [r for r in rows if r[2] == lang] if lang != "fr" else rows  # a small group uses all documents
+        values = [ratios(r[1]) for r in group]
+        fence = {}
+        for k, (_, _, least) in qualityrules.RATIOS.items():
+            v = sorted(x[k] for x in values)
+            at = lambda q, v=v: v[-(-len(v) * q // 100) - 1]
+            width = max(3 * (at(75) - at(25)), least)
+            fence[k] = (at(10) - width, at(90) + width) if at(25) == at(75) else (at(25) - width, at(75) + width)
+        for r in (r for r in rows if r[2] == lang):
+            own, n = ratios(r[1]), counts(r[1])[0]
+            room = 4000 / n**0.5
+            fits = all(own[k] <= fence[k][1] + (room if k == "word_length" else 0) for k in own) and own["word_length"] >= fence["word_length"][0] - room
+            assert got[r[0]].kept == (fits and not counts(r[1])[5]), (r, own, fence)
+            if not got[r[0]].kept and not got[r[0]].base_failed:
+                dropped.add((lang, r[0] % 1000))
+    assert {("en", 0), ("en", 1), ("en", 2), ("en", 3), ("de", 0), ("de", 1), ("de", 3)} <= dropped
+    assert not any(k > 5 for _, k in dropped) and ("en", 4) not in dropped
