@@ -8,13 +8,18 @@ anchors of the smallest hashes, ``KEEP`` at most, in the order of their
 positions, after the number of distinct anchors; it has a bounded size for texts
 of any length, and equal texts have equal ones.
 
-The likeness of two fingerprints is 2 * shared / (anchors of both), where both
-are cut to the range of hashes that they both cover (a bottom sketch).
+The printed fingerprint is that compact form; the likeness of two texts is
+computed from all anchors of both, 2 * matched / (anchors of both), repeats
+included.  Anchors are matched in order of position: equal starts and ends, then
+the longest run of anchors that occur once in both in the same order, then the
+gaps between these in the same way, so a reordered text is unlike its original.
+In a gap without such anchors, repeated ones are matched by their occurrence.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 
 K, S = 16, 6
-#: Anchors of a fingerprint at most; the likeness errs by about 1 / sqrt(KEEP).
+#: Anchors of a printed fingerprint at most.
 KEEP = 128
 #: Ranges of ids a partition, and rows held as Python strings at once.
 RANGES, ROWS = 4, 256
@@ -78,29 +83,100 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tupl
     return out
 
 
-def sketch(h: np.ndarray) -> tuple[int, np.ndarray]:
-    """The number of distinct anchors, and the smallest KEEP of them in the order of their first places."""
+def sketch(h: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of distinct anchors, the smallest KEEP of them in the order of their first places, and all anchors by place."""
     ordered, first = np.unique(h, return_index=True)
-    return len(ordered), h[np.sort(first[:KEEP])]
+    return len(ordered), h[np.sort(first[:KEEP])], h
 
 
-def text_of(own: tuple[int, np.ndarray]) -> str:
+def text_of(own: tuple[int, np.ndarray, np.ndarray]) -> str:
     return f"{own[0]}:{own[1].astype('>u4').tobytes().hex()}"
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """1 for equal fingerprints, two empty ones included; 0 for one empty one."""
-    (na, ha), (nb, hb) = a, b
-    if not na or not nb:
-        return float(na == nb)
-    limit = min([int(h.max()) for n, h in (a, b) if n > KEEP], default=(1 << 32) - 1)
-    ha, hb = np.sort(ha[ha <= limit]), np.sort(hb[hb <= limit])
-    both = np.sort(np.concatenate([ha, hb]))
-    return 2 * int(np.count_nonzero(both[1:] == both[:-1])) / len(both)
+def _rising(x: np.ndarray) -> np.ndarray:
+    """Places of the longest rising subsequence of distinct values: patience piles with links back."""
+    tops: list[int] = []
+    ends: list[int] = []
+    back: list[int] = []
+    for k, v in enumerate(x.tolist()):
+        pile = bisect_left(tops, v)
+        back.append(ends[pile - 1] if pile else -1)
+        tops[pile : pile + 1] = [v]
+        ends[pile : pile + 1] = [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(k)
+        k = back[k]
+    return np.array(out[::-1], np.int64)
+
+
+def _occurrence(h: np.ndarray) -> np.ndarray:
+    """How many equal values come before each."""
+    order = np.argsort(h, kind="stable")
+    one = h[order]
+    first = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
+    out = np.empty(len(h), np.int64)
+    out[order] = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    return out
 
 
-def _fingerprints(texts: list[bytes]) -> list[tuple[int, np.ndarray]]:
-    """Sketches of many texts; several are hashed together."""
+def _once(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur once, sorted, and their places."""
+    one, first, n = np.unique(h, return_index=True, return_counts=True)
+    return one[n == 1], first[n == 1]
+
+
+def matched(a: np.ndarray, b: np.ndarray) -> int:
+    """How many anchors match in order of position."""
+    total, stack = 0, [(0, len(a), 0, len(b))]
+    while stack:
+        a0, a1, b0, b1 = stack.pop()
+        n = min(a1 - a0, b1 - b0)
+        if n <= 0:
+            continue
+        unlike = np.flatnonzero(a[a0 : a0 + n] != b[b0 : b0 + n])
+        same = int(unlike[0]) if len(unlike) else n
+        a0, b0, n = a0 + same, b0 + same, n - same
+        total += same
+        if not n:
+            continue
+        unlike = np.flatnonzero(a[a1 - n : a1][::-1] != b[b1 - n : b1][::-1])
+        same = int(unlike[0]) if len(unlike) else n
+        a1, b1 = a1 - same, b1 - same
+        total += same
+        if a0 >= a1 or b0 >= b1:
+            continue
+        x, y = a[a0:a1], b[b0:b1]
+        (u, p), (v, q) = _once(x), _once(y)
+        _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+        if len(i):
+            p, q = p[i], q[j]
+            order = np.argsort(p)
+            p, q = p[order], q[order]
+            run = _rising(q)
+            p, q = p[run], q[run]
+            total += len(run)
+            stack += zip((np.concatenate([[-1], p]) + 1 + a0).tolist(), (np.append(p, len(x)) + a0).tolist(), (np.concatenate([[-1], q]) + 1 + b0).tolist(), (np.append(q, len(y)) + b0).tolist(), strict=True)
+            continue
+        # each anchor with its occurrence occurs once: these match in order of position
+        both = np.intersect1d(x, y)
+        if not len(both):
+            continue
+        keys = [dict(zip(zip(z.tolist(), _occurrence(z).tolist(), strict=True), range(len(z)), strict=True)) for z in (x, y)]
+        total += len(_rising(np.array([keys[1][k] for k in keys[0] if k in keys[1]], np.int64)))
+    return total
+
+
+def likeness(a: tuple[int, np.ndarray, np.ndarray], b: tuple[int, np.ndarray, np.ndarray]) -> float:
+    """From all anchors in order of position; 1 for equal texts, two empty ones included; 0 for one empty one."""
+    x, y = a[2], b[2]
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    return 2 * matched(x, y) / (len(x) + len(y))
+
+
+def _fingerprints(texts: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Sketches and anchors of many texts; several are hashed together."""
     out, i = [], 0
     while i < len(texts):
         j, size = i, 0

@@ -191,3 +191,30 @@ def test_licenses_wherever_their_words_stand():
             assert got[name] == row[-1] / len(b)
         else:
             assert got.get(name, 0.0) <= row[-1] / len(b)
+
+
+def test_likeness_covers_all_anchors_in_order_of_position():
+    rng = random.Random(11)
+    text = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    like = lambda a, b: syncmers.likeness(*syncmers._fingerprints([a, b]))
+    first, second = text(3000), text(3000)
+    assert like(first + second, first + second) == 1.0
+    assert 0.45 < like(first + second, second + first) < 0.55
+    for _ in range(12):  # a hundredth of a long text
+        shared = text(300)
+        assert like(text(9000) + shared + text(20700), text(20000) + shared + text(9700)) > 0
+    for _ in range(60):
+        values = np.arange(30, dtype=np.uint32)
+        a, b = (np.array(rng.sample(list(values), rng.randint(1, 30)), np.uint32) for _ in range(2))
+        b = a.copy() if rng.random() < 0.1 else b
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(row[j + 1], new[j], row[j] + int(x == y)))
+            row = new
+        assert syncmers.matched(a, b) == row[-1]
+        repeated = np.concatenate([a, b, a]), np.concatenate([b, a, b])
+        assert 0 < syncmers.matched(*repeated) <= min(map(len, repeated))
+    same = np.zeros(500, np.uint32)
+    assert syncmers.matched(same, same[:300]) == 300
