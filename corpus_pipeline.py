@@ -47,7 +47,7 @@ STAGES = [
     ("bpe_tokens", bpe_tokens),
 ]
 
-#: Fitted rules, signatures and merges are beyond SQL; tests hold the stages against brute force.
+#: Fitted rules, signatures and merges are beyond SQL; no test holds the stages as run here against brute force yet.
 ORACLE_SQL = None
 
 
