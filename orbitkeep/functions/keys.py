@@ -36,10 +36,15 @@ def leading(hex_id: Column, digits: int = 15) -> Column:
     return F.conv(F.substring(hex_id, 1, digits), 16, 10).cast("long")
 
 
-def shard(hex_id: Column, shards: int, digits: int = 15) -> Column:
-    """Cache shard of an id: its first digits XOR its last ones, modulo the number of shards."""
-    last = F.conv(F.substring(hex_id, -digits, digits), 16, 10).cast("long")
-    return F.pmod(leading(hex_id, digits).bitwiseXOR(last), F.lit(shards))
+def _little_endian(hex_bytes: Column) -> Column:
+    """16 hex digits, the lowest byte first, as a number of 64 bits (from 2^63 on: negative)."""
+    return F.conv(F.concat(*[F.substring(hex_bytes, i, 2) for i in range(15, 0, -2)]), 16, -10).cast("long")
+
+
+def shard(hex_id: Column, shards: int) -> Column:
+    """Cache shard of an id: its first 8 bytes XOR its last 8, as an unsigned number, modulo the number of shards."""
+    mixed = _little_endian(F.substring(hex_id, 1, 16)).bitwiseXOR(_little_endian(F.substring(hex_id, -16, 16)))
+    return F.pmod(F.shiftrightunsigned(mixed, 1) % shards * 2 + mixed.bitwiseAND(1), F.lit(shards))
 
 
 def keyed_digest(secret: bytes):
@@ -52,6 +57,6 @@ def keyed_digest(secret: bytes):
     return run
 
 
-def ring_share(share: Column) -> Column:
-    """Numbers of 15 hex digits as a share of the whole ring."""
-    return share / F.lit(float(16**15))
+def ring_percent(width: Column, digits: int = 15) -> Column:
+    """A difference of leading digits as a percentage of the whole ring."""
+    return width * 100.0 / F.lit(float(16**digits - 1))

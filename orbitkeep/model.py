@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
 from enum import IntFlag
 
 
 # Error numbers as the operating system has them (fixed values).
-ENOENT, ENXIO, E2BIG, EBADFD, EINVAL, EROFS, ERANGE, EEXIST, EALREADY, EILSEQ, ETIMEDOUT, ENOTSUP = 2, 6, 7, 77, 22, 30, 34, 17, 114, 84, 110, 95
+ENOENT, ENXIO, E2BIG, EBUSY, EEXIST, EINVAL, EROFS, ERANGE, EBADFD, EILSEQ, ENOTSUP, ETIMEDOUT, EALREADY = 2, 6, 7, 16, 17, 22, 30, 34, 77, 84, 95, 110, 114
 
 
 class RecordFlag(IntFlag):
@@ -32,23 +31,53 @@ class ScanFlag(IntFlag):
     OVERWRITE = 32
 
 
-@dataclass(frozen=True)
-class Session:
-    """Settings of a reader or writer; ``with_`` returns a changed copy."""
+class CommandFlag(IntFlag):
+    """How a request is sent and answered (fixed values)."""
 
-    groups: tuple[int, ...] = (1,)
-    namespace: str | None = None
-    accept: str = "positive"
-    checker: str = "at_least_one"
-    timestamp: int | None = None
+    NEED_ACK = 1
+    MORE = 2
+    DESTROY = 4
+    DIRECT = 8
+    NOLOCK = 16
+    CHECKSUM = 32
+    NOCACHE = 64
+    DIRECT_BACKEND = 128
+    REPLY = 512
 
-    def with_(self, **changes) -> Session:
-        return replace(self, **changes)
+
+class WriteFlag(IntFlag):
+    """How a write changes what is stored (fixed values)."""
+
+    APPEND = 2
+    PREPARE = 16
+    COMMIT = 32
+    OVERWRITE = 128
+    NOCSUM = 256
+    PLAIN_WRITE = 512
+
+
+class Category(IntFlag):
+    """Parts of a statistics report (fixed values)."""
+
+    CACHE = 1
+    IO = 2
+    COMMANDS = 4
+    BACKEND = 16
+    TOP = 128
+
+
+class StoreError(ValueError):
+    """A request that cannot be carried out; errno names the reason."""
+
+    def __init__(self, errno: int, text: str):
+        super().__init__(text)
+        self.errno = errno
 
 
 #: Columns that identify and describe a replica.
 INFO = ("group_id", "ts_sec", "size", "user_flags", "record_flags")
-EMPTY_HEADER = 48
+#: Bytes of the header that stands before the value of a record with EXTHDR.
+HEADER = 48
 
 
 def uncommitted(column: str = "record_flags"):

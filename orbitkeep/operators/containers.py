@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .routes import BROADCAST_ROWS, prefix, prefix_digits
+
+
 #: Newest first; sizes are compared downwards, as the sort of containers does.
 def newest_first(size_order: str = "desc") -> list:
     return [F.col("ts_sec").desc(), F.col("size").desc() if size_order == "desc" else F.col("size").asc()]
@@ -30,16 +33,26 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def merged(rows: DataFrame, size_order: str = "desc") -> DataFrame:
-    """One winner of each key over all containers, with the group it came from."""
-    return first_of_key(rows, size_order, tie=("group_id",))
+    """One winner of each key over all containers, with the group it came from: newest, then by size, then with the largest user flags."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy(*newest_first(size_order), F.desc("user_flags"), "group_id"))
+    return rows.withColumn("place", place).filter("place = 1").drop("place")
 
 
 def bucketed(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Each row with the disjoint (start, stop) range that holds its id, ends included; null range_id outside of all.
 
-    ``ranges`` is a table of few rows; intervals are met by their first hex digit.
+    Ranges are met by as many leading digits as their count asks for, and are
+    broadcast within the bound of routes.
     """
-    number = lambda c: F.conv(F.substring(c, 1, 1), 16, 10).cast("int")
-    spans = ranges.withColumn("_prefix", F.explode(F.sequence(number(F.col("start")), number(F.col("stop")))))
-    own = rows.withColumn("_own", number(F.col("id")))
+    n = ranges.count()
+    digits = prefix_digits(n)
+    spans = ranges.withColumn("_prefix", F.explode(F.sequence(prefix(F.col("start"), digits), prefix(F.col("stop"), digits))))
+    if n + 16**digits <= BROADCAST_ROWS:
+        spans = F.broadcast(spans)
+    own = rows.withColumn("_own", prefix(F.col("id"), digits))
     return own.join(spans, (F.col("_own") == F.col("_prefix")) & F.col("id").between(F.col("start"), F.col("stop")), "left").drop("_own", "_prefix", "start", "stop")
+
+
+def transposed(results: DataFrame) -> DataFrame:
+    """(range_id, nodes): of (node, range_id) results, the nodes that have something in each range, in order."""
+    return results.select("range_id", "node").distinct().groupBy("range_id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))

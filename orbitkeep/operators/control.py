@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import EALREADY
+from ..model import EALREADY, EBUSY
+from .routes import upsert
 
 #: Commands and the state they lead to.
 STATES = {"enable": "enabled", "disable": "disabled", "readonly": "readonly", "writable": "enabled"}
@@ -28,3 +29,15 @@ def current(log: DataFrame, keys: tuple[str, ...] = ("group_id", "backend_id"))
 def enabled_routes(routes: DataFrame, states: DataFrame) -> DataFrame:
     """Routes of backends that are not disabled."""
     return routes.join(states.filter("state = 'disabled'").select("group_id", "backend_id"), ["group_id", "backend_id"], "left_anti")
+
+
+def set_ids(routes: DataFrame, states: DataFrame, change: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Give backends new boundaries: (status of each backend in ``change``, routes afterwards).
+
+    An enabled (or read-only) backend's routes are replaced at once; a disabled one's are
+    only stored for later; one between states is busy.
+    """
+    own = change.select("group_id", "backend_id").distinct().join(states.select("group_id", "backend_id", "state"), ["group_id", "backend_id"], "left")
+    status = F.when(F.col("state").isin("enabled", "readonly", "disabled") | F.col("state").isNull(), F.lit(0)).otherwise(F.lit(-EBUSY))
+    own = own.select("group_id", "backend_id", status.alias("status"), F.coalesce(F.col("state").isin("enabled", "readonly"), F.lit(True)).alias("at_once"))
+    return own.select("group_id", "backend_id", "status"), upsert(routes, change.join(own.filter("at_once"), ["group_id", "backend_id"], "left_semi"))

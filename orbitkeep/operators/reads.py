@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import E2BIG, ENOENT, uncommitted
+from ..model import E2BIG, EBADFD, EILSEQ, EINVAL, ENOENT, StoreError, uncommitted
 
-_REPLICA = ("group_id", "ts_sec", "size", "user_flags")
+REPLICA = ("group_id", "ts_sec", "size", "user_flags")
 
 
 def visible(records: DataFrame) -> DataFrame:
@@ -25,31 +25,57 @@ def priority(groups: tuple[int, ...]) -> Column:
     return F.coalesce(*[F.when(F.col("group_id") == g, F.lit(i)) for i, g in enumerate(groups)])
 
 
-def first_group(records: DataFrame, groups: tuple[int, ...], columns: tuple[str, ...] = _REPLICA) -> DataFrame:
+def first_group(records: DataFrame, groups: tuple[int, ...], columns: tuple[str, ...] = REPLICA) -> DataFrame:
     """Of each id the replica in the first group, by the given order, that has one."""
     rows = visible(records).withColumn("prio", priority(groups)).filter("prio IS NOT NULL")
     return rows.groupBy("id").agg(F.min_by(F.struct(*columns), "prio").alias("r")).select("id", "r.*")
 
 
 def bulk_read(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...]) -> DataFrame:
-    """first_group of the wanted ids, each once; missing ids give no row."""
+    """first_group of the wanted ids, each once; missing ids give no row, and no ids at all are an error."""
+    if not wanted.limit(1).count():
+        raise StoreError(EINVAL, "no ids are asked for")
     return first_group(records.join(wanted.select("id").distinct(), "id", "left_semi"), groups)
 
 
-def attempts(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...]) -> DataFrame:
-    """(id, prio, group_id, status): the groups that a read of each id asks, up to the first that has it."""
-    asked = wanted.select("id").distinct().select("id", F.posexplode(F.array(*[F.lit(g) for g in groups])).alias("prio", "group_id"))
-    held = visible(records).select("id", "group_id", F.lit(0).alias("found"))
-    rows = asked.join(held, ["id", "group_id"], "left").withColumn("status", F.coalesce("found", F.lit(-ENOENT)))
+def _asked(wanted: DataFrame, groups: tuple[int, ...]) -> DataFrame:
+    return wanted.select("id").distinct().select("id", F.posexplode(F.array(*[F.lit(g) for g in groups])).alias("prio", "group_id"))
+
+
+def attempts(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...], failures: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(id, prio, group_id, status, columns): the groups that a read of each id asks, up to the first that has it.
+
+    ``failures`` (id, group_id, status) are groups that answer with an error though they hold the id.
+    """
+    held = visible(records).select("id", "group_id", F.lit(0).alias("found"), *columns)
+    rows, status = _asked(wanted, groups).join(held, ["id", "group_id"], "left"), F.coalesce("found", F.lit(-ENOENT))
+    if failures is not None:
+        rows, status = rows.join(failures.select("id", "group_id", F.col("status").alias("failed")), ["id", "group_id"], "left"), F.coalesce("failed", status)
+    rows = rows.withColumn("status", status)
     first = F.min(F.when(F.col("status") == 0, F.col("prio"))).over(Window.partitionBy("id"))
-    return rows.withColumn("first", first).filter("first IS NULL OR prio <= first").select("id", "prio", "group_id", "status")
+    return rows.withColumn("first", first).filter("first IS NULL OR prio <= first").select("id", "prio", "group_id", "status", *columns)
+
 
+def lookup(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...], failures: DataFrame | None = None) -> DataFrame:
+    """(id, prio, group_id, status, ts_sec, size): what a lookup of each id is told, group by group, up to the first that has it and is not empty."""
+    return attempts(records.filter("size > 0"), wanted, groups, failures, ("ts_sec", "size"))
 
-def repairs(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...]) -> DataFrame:
-    """(id, from_group, to_group): writes that a successful read owes to the groups that failed before it."""
-    tried = attempts(records, wanted, groups)
-    good = tried.filter("status = 0").select("id", F.col("group_id").alias("from_group"))
-    return tried.filter("status <> 0").join(good, "id").select("id", "from_group", F.col("group_id").alias("to_group"))
+
+def repairs(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...], failures: DataFrame | None = None) -> DataFrame:
+    """(id, from_group, to_group): writes that a successful read owes to the groups that failed before it.
+
+    Only a read of the whole object repairs: ``wanted`` may have offset and
+    size, of which offset has to be 0 and size 0 or the object's at least.  Only
+    groups that lack the object, hold a bad version or a corrupt one are
+    repaired, not those that were out of reach.
+    """
+    tried = attempts(records, wanted, groups, failures, ("size",))
+    good = tried.filter("status = 0").select("id", F.col("group_id").alias("from_group"), F.col("size").alias("total"))
+    if {"offset", "size"} <= set(wanted.columns):
+        part = wanted.groupBy("id").agg(F.max("offset").alias("offset"), F.max("size").alias("part"))
+        good = good.join(part, "id").filter("offset = 0 AND (part = 0 OR part >= total)")
+    failed = tried.filter(F.col("status").isin(-ENOENT, -EBADFD, -EILSEQ))
+    return failed.join(good, "id").select("id", "from_group", F.col("group_id").alias("to_group"))
 
 
 def slice_of(data: Column, offset: Column, size: Column) -> Column:
@@ -62,7 +88,7 @@ def slice_status(length: Column, offset: Column) -> Column:
     return F.when((offset > 0) & (offset >= length), F.lit(-E2BIG)).otherwise(F.lit(0))
 
 
-def latest(records: DataFrame, columns: tuple[str, ...] = _REPLICA) -> DataFrame:
+def latest(records: DataFrame, columns: tuple[str, ...] = REPLICA) -> DataFrame:
     """The newest visible replica of each id; of equally new ones the lowest group's."""
     newest = F.max_by(F.struct(*columns), F.struct(F.col("ts_sec"), -F.col("group_id")))
     return visible(records).groupBy("id").agg(newest.alias("r")).select("id", "r.*")
@@ -75,12 +101,19 @@ def latest_order(replies: DataFrame) -> DataFrame:
     return replies.withColumn("kind", kind).withColumn("place", F.row_number().over(w))
 
 
-def quorum(records: DataFrame) -> DataFrame:
-    """Replicas of the time on which more than half of an id's replicas agree; without one, those of the newest time."""
-    rows = visible(records).withColumns({"same": F.count("*").over(Window.partitionBy("id", "ts_sec")), "n": F.count("*").over(Window.partitionBy("id")), "newest": F.max("ts_sec").over(Window.partitionBy("id"))})
-    agreed = F.col("same") >= F.floor(F.col("n") / 2) + 1
-    rows = rows.withColumn("any", F.max(F.when(agreed, 1).otherwise(0)).over(Window.partitionBy("id")))
-    return rows.filter((F.col("any") == 1) & agreed | (F.col("any") == 0) & (F.col("ts_sec") == F.col("newest"))).drop("same", "n", "newest", "any")
+def quorum(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...]) -> DataFrame:
+    """(id, group_id, status, ts_sec, size): of each wanted id the replicas of the time on which more than half of the ``groups`` agree; without one, those of the newest time.
+
+    Groups without a visible replica count for the half and are rows with an error.
+    """
+    held = visible(records).select("id", "group_id", "ts_sec", "size")
+    rows = _asked(wanted, groups).join(held, ["id", "group_id"], "left")
+    each = Window.partitionBy("id")
+    agreed = F.col("ts_sec").isNotNull() & (F.col("same") >= len(groups) // 2 + 1)
+    rows = rows.withColumns({"same": F.count("ts_sec").over(Window.partitionBy("id", "ts_sec")), "newest": F.max("ts_sec").over(each)})
+    rows = rows.withColumn("chosen", F.coalesce(F.max(F.when(agreed, F.col("ts_sec"))).over(each), F.col("newest")))
+    status = F.when(F.col("ts_sec").isNull(), F.lit(-ENOENT)).otherwise(F.lit(0))
+    return rows.filter("ts_sec IS NULL OR ts_sec = chosen").select("id", "group_id", status.alias("status"), "ts_sec", "size")
 
 
 def misplaced(holders: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import EBADFD, EILSEQ, ENOENT, ENXIO, ETIMEDOUT, uncommitted
 
 @dataclass(frozen=True)
 class Options:
@@ -14,6 +16,11 @@ class Options:
 
     prepare_before: uncommitted writes older than this may be removed.
     user_flags: only keys with a replica of one of these; empty: all keys.
+    since: only replicas written at that time or later.
+    no_meta: times and user flags of committed replicas are unknown, all are 0.
+    address, backend_id: only keys that this node (this backend of it) owns in some group; null: all.
+    dry_run: find out what to do, and do nothing.
+    safe: do not remove anything.
     """
 
     groups: tuple[int, ...] = (1, 2, 3)
@@ -21,6 +28,47 @@ class Options:
     user_flags: tuple[int, ...] = ()
     chunk_size: int = 1 << 20
     server_send: bool = True
+    since: int = 0
+    no_meta: bool = False
+    address: str | None = None
+    backend_id: int | None = None
+    dry_run: bool = False
+    safe: bool = False
+
+
+def selected(records: DataFrame, options: Options, owners: DataFrame | None = None) -> DataFrame:
+    """The replicas that a run looks at; ``owners`` (id, address, backend_id), which a run for one node needs, has a row for each group."""
+    rows = records.filter(F.col("group_id").isin(list(options.groups)) & (F.col("ts_sec") >= options.since))
+    if options.no_meta:
+        rows = rows.withColumns({c: F.when(uncommitted(), F.col(c)).otherwise(F.lit(0).cast("long")) for c in ("ts_sec", "user_flags")})
+    if options.address is not None:
+        own = (F.col("address") == options.address) & (F.lit(options.backend_id is None) | (F.col("backend_id") == F.lit(options.backend_id)))
+        rows = rows.join(owners.filter(own).select("id").distinct(), "id", "left_semi")
+    return rows
+
+
+def applied(plan: DataFrame, options: Options) -> DataFrame:
+    """What of (id, action, ...) is done: with safe no removal, with dry_run nothing."""
+    rows = plan.filter(F.col("action") != "skip")
+    if options.dry_run:
+        return rows.limit(0)
+    return rows.filter(F.col("action") != "remove") if options.safe else rows
+
+
+def custom(keys: DataFrame, recover: Callable[[DataFrame, Options], DataFrame], options: Options) -> DataFrame:
+    """Recovery by a function of your own, which gets keys with infos and returns (id, action, src_group, dst_groups) of those that it recovers."""
+    out = recover(keys, options)
+    if missing := {"id", "action", "src_group", "dst_groups"} - set(out.columns):
+        raise ValueError(f"a recovery function has to return {sorted(missing)} too")
+    return out.select("id", "action", "src_group", "dst_groups")
+
+
+def from_dump(records: DataFrame, dump: DataFrame) -> DataFrame:
+    """(id, infos, status) of the keys in a dump, each once, whatever it holds more; a key that no group has is an error with empty infos."""
+    wanted = dump.select("id").distinct()
+    found = infos(records.join(wanted, "id", "left_semi"))
+    rows = wanted.join(found, "id", "left")
+    return rows.select("id", F.coalesce("infos", F.array().cast(found.schema["infos"].dataType)).alias("infos"), F.when(F.col("infos").isNull(), F.lit(-ENOENT)).otherwise(F.lit(0)).alias("status"))
 
 
 def infos(records: DataFrame) -> DataFrame:
@@ -102,11 +150,42 @@ def buckets(keys: DataFrame, options: Options) -> DataFrame:
 
 
 def send_rounds(keys: DataFrame, failures: DataFrame, options: Options) -> DataFrame:
-    """(id, round, src_group, solved) of sending keys group by group: a key fails in a round if ``failures`` (id, group_id) has its source, and goes on to the next newest holder."""
-    turns = with_groups(keys, options).filter(~skipped(options)).select("id", F.posexplode(F.filter("newest", lambda x: ~_open(x))).alias("round", "x")).select("id", "round", F.col("x.group_id").alias("src_group"))
-    tried = turns.join(failures.select("id", F.col("group_id").alias("src_group"), F.lit(True).alias("failed")).distinct(), ["id", "src_group"], "left").withColumn("solved", F.col("failed").isNull()).drop("failed")
-    first = tried.filter("solved").groupBy("id").agg(F.min("round").alias("last"))
-    return tried.join(first, "id", "left").filter("last IS NULL OR round <= last").select("id", "round", "src_group", "solved")
+    """(id, round, src_group, status, outcome) of sending keys group by group.
+
+    A key fails in a round if ``failures`` (id, group_id, status) has its source,
+    and goes on to the next newest holder.  After a timeout, or where the source
+    is out of reach, it goes on only if that one has the same user flags too: a
+    worse replica does not stand in for one that is there.  A source that turns
+    out corrupt is removed, unless the run is safe.  outcome: sent, next (tried again
+    from the next holder), removed (the same, without the source) or failed (nobody is left).
+    """
+    holders = F.filter("newest", lambda x: ~_open(x))
+    turns = with_groups(keys, options).filter(~skipped(options)).select("id", F.posexplode(holders).alias("round", "x")).select("id", "round", F.col("x.group_id").alias("src_group"), F.col("x.user_flags").alias("flags"))
+    after = F.lead("flags").over(Window.partitionBy("id").orderBy("round"))
+    tried = turns.withColumn("after", after).join(failures.select("id", F.col("group_id").alias("src_group"), "status").distinct(), ["id", "src_group"], "left").withColumn("status", F.coalesce("status", F.lit(0)))
+    away = F.col("status").isin(-ETIMEDOUT, -ENXIO)
+    ends = (F.col("status") == 0) | F.col("after").isNull() | (away & (F.col("after") != F.col("flags")))
+    last = F.min(F.when(ends, F.col("round"))).over(Window.partitionBy("id"))
+    outcome = F.when(F.col("status") == 0, "sent").when((F.col("status") == -EILSEQ) & ~F.lit(options.safe), "removed").when(ends, "failed").otherwise("next")
+    return tried.withColumns({"last": last, "outcome": outcome}).filter("round <= last").select("id", "round", "src_group", "status", "outcome")
+
+
+def merge_send(sent: DataFrame) -> DataFrame:
+    """(id, group_id, holder_n, action) after moving keys from every backend that should not have them to their owner.
+
+    ``sent`` has the status of each move.  moved: it went well; gone: the key
+    was not there; removed: an older or a corrupt version, which goes; rest: any
+    other error, so the key is left for recovery one by one.
+    """
+    status = F.col("status")
+    action = F.when(status == 0, "moved").when(status == -ENOENT, "gone").when(status.isin(-EBADFD, -EILSEQ), "removed").otherwise("rest")
+    return sent.select("id", "group_id", "holder_n", action.alias("action"))
+
+
+def unrecovered(asked: DataFrame, sent: DataFrame) -> DataFrame:
+    """Keys (id, group_id) that are not recovered by moves: nobody answered for them, or an answer is an error that leaves a valid version where it was."""
+    done = merge_send(sent).groupBy("id", "group_id").agg(F.max(F.col("action") == "rest").alias("rest"))
+    return asked.select("id", "group_id").distinct().join(done, ["id", "group_id"], "left").filter("coalesce(rest, true)").select("id", "group_id")
 
 
 def merge_actions(held: DataFrame, options: Options) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..model import ENXIO
 
+#: Places of a request (groups, nodes, backends) in one broadcast row at most.
+PLACES = 10_000
+
 _ok = lambda: F.col("status") == 0
 _ack = lambda: F.col("data_size") == 0
 _final = lambda: F.col("is_final")
@@ -37,14 +40,18 @@ def shown(replies: DataFrame, accept: str | Column = "positive") -> DataFrame:
     return replies.filter(FILTERS[accept]() if isinstance(accept, str) else accept)
 
 
-def outcome(replies: DataFrame, checker: str = "at_least_one", keys: tuple[str, ...] = ("id",)) -> DataFrame:
+def outcome(replies: DataFrame, checker="at_least_one", keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """(keys, successes, total, ok, error) of each request, from its final replies only.
 
-    error is 0 where the check holds; else the first group's real error if
-    nothing succeeded, else "no such device or address".
+    ``checker`` is one of CHECKERS, or a function of the columns successes and
+    total.  error is 0 where the check holds; else the first real error to
+    arrive if nothing succeeded, else "no such device or address".  That error
+    is not a real one if it is no reply (is_reply) but tells that nothing could
+    be sent.
     """
-    final = replies.filter("is_final").groupBy(*keys).agg(F.count_if(_ok()).alias("successes"), F.count("*").alias("total"), F.min_by("status", F.when((F.col("status") != 0) & (F.col("status") != -ENXIO), F.struct("group_id", "status"))).alias("first_error"))
-    ok = CHECKERS[checker](F.col("successes"), F.col("total"))
+    unsent = ~F.col("is_reply") & (F.col("status") == -ENXIO)
+    final = replies.filter("is_final").groupBy(*keys).agg(F.count_if(_ok()).alias("successes"), F.count("*").alias("total"), F.min_by("status", F.when((F.col("status") != 0) & ~unsent, F.struct("arrival", "status"))).alias("first_error"))
+    ok = (CHECKERS[checker] if isinstance(checker, str) else checker)(F.col("successes"), F.col("total"))
     error = F.when(ok, F.lit(0)).when((F.col("successes") == 0) & F.col("first_error").isNotNull(), F.col("first_error")).otherwise(F.lit(-ENXIO))
     return final.select(*keys, "successes", "total", ok.alias("ok"), error.alias("error"))
 
@@ -55,12 +62,18 @@ def remove_on_fail(replies: DataFrame, checker: str, keys: tuple[str, ...] = ("i
     return replies.filter(F.col("is_final") & _ok()).join(failed, list(keys), "left_semi").select(*keys, "group_id").distinct()
 
 
-def aggregated(parts: list[DataFrame]) -> DataFrame:
-    """Several requests' replies as one; successes and totals add up in ``outcome``."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+def aggregated(replies: DataFrame, requests: DataFrame, checker="at_least_one", key: str = "request", sub: str = "part") -> DataFrame:
+    """(key, total, ok, error) of requests that were sent as several ones (sub).
+
+    ok if any reply of any part is good; else error is that of the last part
+    that failed, and "no such device or address" where there are no parts.
+    ``requests`` has a row for each key.
+    """
+    parts = outcome(replies, checker, (key, sub)).groupBy(key).agg(F.sum("total").alias("total"), F.max_by("error", F.when(F.col("error") != 0, F.col(sub))).alias("last"))
+    good = replies.groupBy(key).agg(F.max(_ok() & _final()).alias("good"))
+    rows = requests.select(key).distinct().join(parts, key, "left").join(good, key, "left")
+    error = F.when(F.col("total").isNull(), F.lit(-ENXIO)).when(F.col("good"), F.lit(0)).otherwise(F.coalesce("last", F.lit(0)))
+    return rows.select(key, F.coalesce("total", F.lit(0)).alias("total"), (error == 0).alias("ok"), error.alias("error"))
 
 
 def first_valid(replies: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -68,8 +81,21 @@ def first_valid(replies: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFram
     return replies.filter(FILTERS["positive"]()).groupBy(*keys).agg(F.min_by(F.struct("group_id", "data_size", "ts_sec"), "group_id").alias("r")).select(*keys, "r.*")
 
 
+def with_each(requests: DataFrame, places: DataFrame) -> DataFrame:
+    """Each request with each of the places.
+
+    Counted places within the bound travel as one broadcast row; more of them as
+    several rows, each met once by every request.
+    """
+    blocks = max(1, -(-places.count() // PLACES))
+    at = F.struct(*places.columns)
+    packed = places.select(F.pmod(F.xxhash64(at), F.lit(blocks)).cast("int").alias("_block"), at.alias("_at")).groupBy("_block").agg(F.collect_list("_at").alias("_places"))
+    rows = requests.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.join(F.broadcast(packed) if blocks == 1 else packed, "_block")
+    return rows.select(*requests.columns, F.explode("_places").alias("_at")).select(*requests.columns, "_at.*")
+
+
 def fan_out(requests: DataFrame, routes: DataFrame, level: str = "group") -> DataFrame:
-    """A request for each group, node or backend of a route table (few rows, checked by the caller)."""
+    """A request for each group, node or backend of a route table."""
     columns = {"group": ["group_id"], "node": ["address"], "backend": ["group_id", "address", "backend_id"]}[level]
-    places = routes.agg(F.collect_set(F.struct(*columns)).alias("at")).withColumn("_one", F.lit(1))
-    return requests.withColumn("_one", F.lit(1)).join(F.broadcast(places), "_one").select(*requests.columns, F.explode("at").alias("at")).select(*requests.columns, "at.*")
+    return with_each(requests, routes.select(*columns).distinct())

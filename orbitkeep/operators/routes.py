@@ -1,9 +1,9 @@
 """Routing: who owns a key, by the greatest boundary at or under it on a ring.
 
 A ring wraps: keys under the first boundary belong to the last.  Range joins
-become equi-joins: intervals and keys are cut by their leading hex digits, so a
-key meets the one or two intervals of its prefix, whatever the number of
-boundaries.
+become equi-joins: intervals and keys are cut by their leading hex digits, as many
+as give each group's boundaries a prefix each on average, so a key meets the few
+intervals of its own prefix, whatever the number of boundaries.
 """
 
 from __future__ import annotations
@@ -11,10 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import leading
+from ..functions.keys import leading, ring_percent
+from ..model import EEXIST
 
-#: Routes broadcast at most; beyond that the join on the prefix is shuffled.
+#: Intervals, cut by prefix, broadcast at most; beyond that the join on prefix and group is shuffled.
 BROADCAST_ROWS = 500_000
+#: Digits of a prefix at most: 28 bits.
+MOST_DIGITS = 7
+
+
+def prefix_digits(count: int) -> int:
+    """Hex digits that give so many boundaries a prefix each."""
+    digits = 1
+    while 16**digits < count and digits < MOST_DIGITS:
+        digits += 1
+    return digits
+
+
+def prefix(hex_id, digits: int):
+    return F.conv(F.rpad(F.substring(hex_id, 1, digits), digits, "0"), 16, 10).cast("int")
 
 
 def intervals(routes: DataFrame) -> DataFrame:
@@ -25,18 +40,20 @@ def intervals(routes: DataFrame) -> DataFrame:
     return rows.union(wrapped.select(*rows.columns)).drop("_low")
 
 
-def lookup(keys: DataFrame, routes: DataFrame, digits: int = 2, how: str = "inner") -> DataFrame:
+def lookup(keys: DataFrame, routes: DataFrame, digits: int | None = None, how: str = "inner") -> DataFrame:
     """Each key with its owner in every group of ``routes``; with a group_id in ``keys``, in that group only.
 
-    With how="left" keys of groups without routes stay, with nulls.
+    ``digits`` of the prefix come from the boundaries' count unless given.  With
+    how="left" keys of groups without routes stay, with nulls.
     """
+    sizes = routes.groupBy("group_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("groups")).first()
+    digits = digits or prefix_digits(sizes["most"] or 1)
     spans = intervals(routes)
-    number = lambda c, other: F.conv(F.rpad(F.substring(F.coalesce(c, F.lit(other)), 1, digits), digits, "0"), 16, 10).cast("int")
-    spans = spans.withColumn("_prefix", F.explode(F.sequence(number(F.col("start"), ""), number(F.col("stop"), "f" * digits))))
-    spans = spans.withColumnRenamed("group_id", "_group")
-    if routes.count() <= BROADCAST_ROWS:
+    upto = F.coalesce(prefix(F.col("stop"), digits), F.lit(16**digits - 1))
+    spans = spans.withColumn("_prefix", F.explode(F.sequence(prefix(F.col("start"), digits), upto))).withColumnRenamed("group_id", "_group")
+    if (sizes["all"] or 0) + sizes["groups"] * 16**digits <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
-    own = keys.withColumn("_own_prefix", F.conv(F.substring("id", 1, digits), 16, 10).cast("int"))
+    own = keys.withColumn("_own_prefix", prefix(F.col("id"), digits))
     same = (F.col("_own_prefix") == F.col("_prefix")) & (F.col("id") >= F.col("start")) & (F.col("stop").isNull() | (F.col("id") < F.col("stop")))
     if "group_id" in keys.columns:
         return own.join(spans, same & (F.col("group_id") == F.col("_group")), how).drop("_prefix", "_own_prefix", "_group", "start", "stop")
@@ -73,22 +90,24 @@ def inverse(owned: DataFrame, keys: list[str], digits: int = 64) -> DataFrame:
     return gaps.unionByName(tail).filter("gap_start < gap_stop")
 
 
-def common_ranges(routes: DataFrame) -> DataFrame:
-    """Elementary ranges between all groups' boundaries, each with its owner in every group.
+def common_ranges(routes: DataFrame, digits: int = 64) -> DataFrame:
+    """Elementary ranges (id to stop, exclusive) between all groups' boundaries, each with its owner in every group.
 
-    Owners are the routes' own, so this is a lookup of each boundary; ``stop`` is
-    the next boundary (the boundaries are few: one ordered pass over them).
+    The first range begins at the smallest id, the last has no end (null).  The
+    boundaries of a ring are ordered in one pass: a few for each backend.
     """
-    starts = routes.select(F.col("ring_id").alias("id")).distinct()
-    return lookup(starts, routes)
+    starts = routes.select(F.col("ring_id").alias("id")).union(routes.sparkSession.createDataFrame([("0" * digits,)], "id string")).distinct()
+    return lookup(starts.withColumn("until", F.lead("id").over(Window.partitionBy(F.lit(0)).orderBy("id"))), routes).withColumnRenamed("until", "stop")
 
 
 def shares(routes: DataFrame, digits: int = 64) -> DataFrame:
-    """(group_id, address, backend_id, share): how much of the ring each owner has, by the leading 15 digits."""
+    """(group_id, address, backend_id, width, percent, address_percent): how much of its group's ring each owner and each address has, by the leading 15 digits."""
     by = Window.partitionBy("group_id").orderBy("ring_id")
     rows = with_bounds(routes, digits).withColumn("stop", F.lead("ring_id").over(by)).filter("stop IS NOT NULL")
     width = leading(F.col("stop")) - leading(F.col("ring_id"))
-    return rows.groupBy("group_id", "address", "backend_id").agg(F.sum(width).alias("width"))
+    rows = rows.groupBy("group_id", "address", "backend_id").agg(F.sum(width).alias("width"))
+    whole = F.sum("width").over(Window.partitionBy("group_id", "address"))
+    return rows.withColumns({"percent": ring_percent(F.col("width")), "address_percent": ring_percent(whole)})
 
 
 def upsert(routes: DataFrame, change: DataFrame) -> DataFrame:
@@ -96,3 +115,34 @@ def upsert(routes: DataFrame, change: DataFrame) -> DataFrame:
     left = routes.join(change.select("group_id", "address", "backend_id").distinct(), ["group_id", "address", "backend_id"], "left_anti")
     fresh = change.join(left.select("group_id", "ring_id"), ["group_id", "ring_id"], "left_anti").select(*left.columns).dropDuplicates(["group_id", "ring_id"])
     return left.unionByName(fresh)
+
+
+def upsert_status(routes: DataFrame, change: DataFrame) -> DataFrame:
+    """(group_id, address, backend_id, status) of each backend in ``change``: an error if other backends have all of its boundaries already."""
+    left = routes.join(change.select("group_id", "address", "backend_id").distinct(), ["group_id", "address", "backend_id"], "left_anti")
+    rows = change.join(left.select("group_id", "ring_id", F.lit(True).alias("taken")), ["group_id", "ring_id"], "left")
+    return rows.groupBy("group_id", "address", "backend_id").agg(F.when(F.every(F.col("taken").isNotNull()), F.lit(-EEXIST)).otherwise(F.lit(0)).alias("status"))
+
+
+def of_address(routes: DataFrame, address: str) -> DataFrame:
+    """An address's routes, of each backend the first by boundary."""
+    rows = routes.filter(F.col("address") == address)
+    return rows.groupBy("backend_id").agg(F.min_by(F.struct("group_id", "ring_id"), F.struct("ring_id", "group_id")).alias("r")).select("backend_id", "r.*")
+
+
+def groups_of(routes: DataFrame, address: str) -> DataFrame:
+    return routes.filter(F.col("address") == address).select("group_id").distinct()
+
+
+def backends_of(routes: DataFrame, address: str) -> DataFrame:
+    return routes.filter(F.col("address") == address).select("backend_id").distinct()
+
+
+def of_backend(routes: DataFrame, address: str, backend_id: int) -> DataFrame:
+    """All routes of a backend."""
+    return routes.filter((F.col("address") == address) & (F.col("backend_id") == backend_id))
+
+
+def first_of_backend(routes: DataFrame, address: str, backend_id: int) -> DataFrame:
+    """(group_id, ring_id) of a backend's first route by boundary: its group, and an id that it owns."""
+    return of_backend(routes, address, backend_id).agg(F.min(F.struct("ring_id", "group_id")).alias("r")).filter("r IS NOT NULL").select("r.group_id", "r.ring_id")

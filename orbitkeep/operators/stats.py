@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import EINVAL, Category, StoreError
+from .folds import folded_rows
 
 #: Upper bounds of latency (microseconds) and size (bytes) buckets; a value equal to a bound is within it.
 LATENCY, SIZE = (500, 5000, 100000), (100, 500, 1000)
@@ -45,19 +50,29 @@ def decayed(reads: DataFrame, window: int, keys: tuple[str, ...] = ("group_id",
     With each read the sum so far is scaled by max(0, 1 - gap / window), cut to
     a whole number, and the read's size (for the frequency: 1.0) is added.
     """
-    entries = F.array_sort(F.collect_list(F.struct("sec", "event_id", "size")))
-    zero = F.struct(F.lit(0).cast("long").alias("weight"), F.lit(0.0).alias("frequency"), F.lit(None).cast("long").alias("last"))
+    reads = reads.withColumn("at", F.col("sec"))
+
+    def step(state: tuple, sec: int, size: int) -> tuple:
+        weight, frequency, last = state
+        keep = 0.0 if last is None else max(0.0, 1.0 - (sec - last) / float(window))
+        return math.floor(weight * keep) + size, frequency * keep + 1.0, sec
 
-    def step(a, x):
-        keep = F.when(a["last"].isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - (x["sec"] - a["last"]) / F.lit(float(window))))
-        return F.struct((F.floor(a["weight"] * keep).cast("long") + x["size"]).alias("weight"), (a["frequency"] * keep + 1.0).alias("frequency"), x["sec"].alias("last"))
+    return folded_rows(reads, keys, ("sec", "event_id"), ("at", "size"), (0, 0.0, None), step, lambda s: s, "weight long, frequency double, last long")
 
-    return reads.groupBy(*keys).agg(F.aggregate(entries, zero, step).alias("r")).select(*keys, "r.*")
 
+def top_keys(access: DataFrame, k: int, window: int, now: int | None = None, capacity: int | None = None) -> DataFrame:
+    """The k keys with the largest decayed size of reads.
 
-def top_keys(access: DataFrame, k: int, window: int, now: int | None = None) -> DataFrame:
-    """The k keys with the largest decayed size of reads; keys idle for longer than the window are out."""
+    Keys that are idle at ``now`` for longer than the window are out.  With a
+    ``capacity`` only so many keys of a group are remembered, those read last
+    (of equal ones the lower id).
+    """
     reads = access.filter("cmd = 'READ' AND status = 0 AND size > 0")
+    if capacity is not None:
+        # from the latest read of each key, so that what is forgotten is not folded
+        latest = reads.groupBy("group_id", "id").agg(F.max(F.struct("sec", "event_id")).alias("latest"))
+        place = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("latest"), "id"))
+        reads = reads.join(latest.withColumn("place", place).filter(F.col("place") <= capacity).select("group_id", "id"), ["group_id", "id"], "left_semi")
     rows = decayed(reads, window)
     if now is not None:
         rows = rows.filter(F.lit(now) - F.col("last") <= window)
@@ -71,21 +86,79 @@ def histogram(access: DataFrame, seconds: int = 1) -> DataFrame:
 
 
 def report(access: DataFrame) -> DataFrame:
-    """(group_id, backend_id, report): counters of each backend as one JSON document."""
+    """(group_id, backend_id, report): the counters of each backend's commands as one JSON document, without commands that were never used."""
     own = command_counters(access, ("group_id", "backend_id", "cmd"))
     entry = F.struct("cmd", "place", "origin", "successes", "failures", "size", "time_us")
     return own.groupBy("group_id", "backend_id").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("report"))
 
 
-def backend_totals(records: DataFrame) -> DataFrame:
-    """Objects, bytes, removed and uncommitted records of each group."""
-    return records.groupBy("group_id").agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"), F.count_if(F.col("record_flags").bitwiseAND(1) != 0).alias("removing"), F.count_if(F.col("record_flags").bitwiseAND(128) != 0).alias("uncommitted"))
+def storage_and_proxy(access: DataFrame) -> DataFrame:
+    """Counts per command, apart for requests that came from clients (storage) and that went on to other nodes (proxy: internal ones)."""
+    of = {"storage": F.col("trans") != 0, "proxy": F.col("trans") == 0}
+    ended = {"successes": F.col("status") == 0, "failures": F.col("status") != 0}
+    return access.groupBy("cmd").agg(*[F.count_if(a & b).alias(f"{place}_{name}") for place, a in of.items() for name, b in ended.items()])
+
+
+def backend_totals(records: DataFrame, categories: int = -1) -> DataFrame:
+    """Of each group, as far as the categories ask: objects and bytes (IO), removed and uncommitted records (BACKEND)."""
+    flag = lambda bit: F.count_if(F.col("record_flags").bitwiseAND(bit) != 0)
+    parts = {Category.IO: [F.count("*").alias("objects"), F.sum("size").alias("bytes")], Category.BACKEND: [flag(1).alias("removing"), flag(128).alias("uncommitted")]}
+    asked = [c for bit, columns in parts.items() if categories & bit for c in columns]
+    return records.groupBy("group_id").agg(*asked) if asked else records.select("group_id").distinct()
 
 
 def page_sizes(records: DataFrame, shard, pages: int) -> DataFrame:
-    """(shard, sizes): bytes of each page of each cache shard, as an array."""
-    rows = records.groupBy(shard.alias("shard"), F.pmod(F.xxhash64("id"), F.lit(pages)).alias("page")).agg(F.sum("size").alias("size"))
-    return rows.groupBy("shard").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("page", "size")))).alias("sizes"))
+    """(shard, objects, size, removing, sizes): totals of each cache shard, and the bytes of each of its pages in order, pages by the last digits of ids."""
+    page = F.pmod(F.conv(F.substring("id", -8, 8), 16, 10).cast("long"), F.lit(pages))
+    rows = records.groupBy(shard.alias("shard"), page.alias("page")).agg(F.count("*").alias("objects"), F.sum("size").alias("size"), F.count_if(F.col("record_flags").bitwiseAND(1) != 0).alias("removing"))
+    sizes = F.map_from_entries(F.collect_list(F.struct("page", "size")))
+    rows = rows.groupBy("shard").agg(*[F.sum(c).alias(c) for c in ("objects", "size", "removing")], sizes.alias("sizes"))
+    return rows.withColumn("sizes", F.transform(F.sequence(F.lit(0), F.lit(pages - 1)), lambda p: F.coalesce(F.try_element_at("sizes", p.cast("long")), F.lit(0))))
+
+
+#: Parts of a report by category: functions of (access, records) that return (group_id, name, value).
+PROVIDERS: dict[Category, Callable[[DataFrame, DataFrame], DataFrame]] = {}
+
+
+def provider(category: Category):
+    """Register a part of reports; a part that is registered again is replaced."""
+
+    def put(f):
+        PROVIDERS[category] = f
+        return f
+
+    return put
+
+
+@provider(Category.COMMANDS)
+def _commands(access: DataFrame, records: DataFrame) -> DataFrame:
+    rows = access.groupBy("group_id", F.coalesce("cmd", F.lit("UNKNOWN")).alias("cmd")).agg(F.count_if(F.col("status") == 0).alias("successes"), F.count_if(F.col("status") != 0).alias("failures"))
+    each = F.explode(F.array(*[F.struct(F.concat("cmd", F.lit(f".{c}")).alias("name"), F.col(c).alias("value")) for c in ("successes", "failures")])).alias("x")
+    return rows.select("group_id", each).select("group_id", "x.*")
+
+
+def _totals(category: Category, columns: tuple[str, ...]):
+    def run(access: DataFrame, records: DataFrame) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])).alias("x")
+        return backend_totals(records, category).select("group_id", each).select("group_id", "x.*")
+
+    return run
+
+
+provider(Category.IO)(_totals(Category.IO, ("objects", "bytes")))
+provider(Category.BACKEND)(_totals(Category.BACKEND, ("removing", "uncommitted")))
+
+
+def document(access: DataFrame, records: DataFrame, categories: int = -1, at: int = 0) -> DataFrame:
+    """(group_id, report): one JSON document a group with the time ``at`` and an entry for each asked category that has a provider."""
+    parts = [f(access, records).select("group_id", F.lit(c.name.lower()).alias("category"), "name", "value") for c, f in sorted(PROVIDERS.items()) if categories & c]
+    if not parts:
+        raise StoreError(EINVAL, f"no part of a report in the categories {categories:#x}")
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    entry = F.array_sort(F.collect_list(F.struct("category", "name", "value")))
+    return rows.groupBy("group_id").agg(F.to_json(F.struct(F.lit(at).alias("timestamp"), entry.alias("values"))).alias("report"))
 
 
 def durations(milestones: DataFrame, by: str = "user_id", keys: tuple[str, ...] = ("sec", "event_id")) -> DataFrame:

@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import EBADFD, ENXIO, uncommitted
+from ..model import EBADFD, EILSEQ, ENXIO, ScanFlag, StoreError, uncommitted
+from . import routes as rt
+from .scan import check_flags, scan
 
 
 def outcomes(source: DataFrame, target: DataFrame, destinations: tuple[int, ...], overwrite: bool = False) -> DataFrame:
     """(id, group_id, status) of writing each source record to each destination group.
 
     A write fails where the destination has a newer version, unless it
-    overwrites; uncommitted records are reported and not written.
+    overwrites; uncommitted records, and those whose value does not fit its
+    checksum (a column valid, where there is one), are reported and not written.
     """
     if not destinations:
-        raise ValueError(f"no destination groups (errno {ENXIO})")
-    asked = source.select("id", "ts_sec", uncommitted().alias("open"), F.explode(F.array(*[F.lit(g) for g in destinations])).alias("group_id"))
+        raise StoreError(ENXIO, "no destination groups")
+    valid = F.col("valid") if "valid" in source.columns else F.lit(True)
+    asked = source.select("id", "ts_sec", uncommitted().alias("open"), valid.alias("valid"), F.explode(F.array(*[F.lit(g) for g in destinations])).alias("group_id"))
     have = target.select("id", "group_id", F.col("ts_sec").alias("have"))
     rows = asked.join(have, ["id", "group_id"], "left")
-    status = F.when(F.col("open"), F.lit(-ENXIO)).when(F.lit(not overwrite) & F.col("have").isNotNull() & (F.col("have") > F.col("ts_sec")), F.lit(-EBADFD)).otherwise(F.lit(0))
+    status = F.when(F.col("open"), F.lit(-ENXIO)).when(~F.col("valid"), F.lit(-EILSEQ)).when(F.lit(not overwrite) & F.col("have").isNotNull() & (F.col("have") > F.col("ts_sec")), F.lit(-EBADFD)).otherwise(F.lit(0))
     return rows.select("id", "group_id", status.alias("status"))
 
 
@@ -37,3 +41,26 @@ def copied(target: DataFrame, source: DataFrame, done: DataFrame) -> DataFrame:
 def left_after_move(source: DataFrame, done: DataFrame) -> DataFrame:
     """The source table after a move: a record goes only if every destination took it."""
     return source.join(results(done).filter("status = 0"), "id", "left_anti")
+
+
+def requests(source: DataFrame, routes: DataFrame, group: int) -> DataFrame:
+    """(address, backend_id, keys): the requests that sending keys takes, one for each backend of the group that holds some."""
+    owners = rt.lookup(source.select("id").distinct().withColumn("group_id", F.lit(group)), routes)
+    return owners.groupBy("address", "backend_id").agg(F.count("*").alias("keys"))
+
+
+def copy_scan(records: DataFrame, group: int, destinations: tuple[int, ...], ranges: list[tuple[str, str]] = (), time: tuple[int, int] = (0, 0), flags: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Scan a group and send what is found to the destinations: (outcomes, all records afterwards).
+
+    Flags of a scan: with MOVE a record that every destination took leaves the
+    source; with OVERWRITE newer versions at a destination are replaced.
+    """
+    flags = check_flags(flags)
+    source = scan(records.filter(F.col("group_id") == group), ranges, time)
+    target = records.filter(F.col("group_id").isin(list(destinations)))
+    done = outcomes(source, target, destinations, bool(flags & ScanFlag.OVERWRITE))
+    own = records.filter(F.col("group_id") == group)
+    if flags & ScanFlag.MOVE:
+        own = left_after_move(own, done)
+    rest = records.filter((F.col("group_id") != group) & ~F.col("group_id").isin(list(destinations)))
+    return done, copied(target, source, done).unionByName(own).unionByName(rest)

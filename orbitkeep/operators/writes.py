@@ -1,7 +1,8 @@
 """Writes as logs: last writer wins, compare and swap, append, prepare and commit, expiry.
 
-A log is a table of (id, seq, ...).  Order within an id matters, so each id's
-entries are folded inside one group aggregate; different ids never meet.
+A log is a table of (id, seq, ...).  Order within an id matters, so what makes up
+an id's value is gathered in one row, as the value itself is; entries that a
+later one replaced are left out before.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import EBADFD, EROFS
+from ..model import EBADFD, EINVAL, EROFS, StoreError
+from .reads import latest
 
 
 def last_writer(stored: DataFrame, writes: DataFrame, keys: tuple[str, ...] = ("id", "group_id")) -> DataFrame:
@@ -52,26 +54,70 @@ def chunks(size: Column, chunk: int) -> Column:
 def folded(log: DataFrame) -> DataFrame:
     """(id, data, visible): each id's log of prepare, plain, commit, write and remove entries, played in order.
 
-    prepare starts a new, invisible value; plain adds to it; commit adds and
-    shows it; write replaces it and shows it; remove takes it away.
+    prepare starts a new, invisible value; plain adds to it; commit adds, cuts
+    the value to csize characters (a column that the log may have; null or 0:
+    all) and shows it; write replaces it and shows it; remove takes it away.
     """
-    entries = F.array_sort(F.collect_list(F.struct("seq", "op", "data")))
+    base = log.groupBy("id").agg(F.max(F.when(F.col("op").isin("prepare", "write", "remove"), F.col("seq"))).alias("base"))
+    csize = F.col("csize") if "csize" in log.columns else F.lit(None)
+    live = log.withColumn("csize", csize.cast("int")).join(base, "id").filter("base IS NULL OR seq >= base")
+    entries = F.array_sort(F.collect_list(F.struct("seq", "op", "data", "csize")))
     zero = F.struct(F.lit(None).cast("string").alias("data"), F.lit(False).alias("visible"))
 
     def step(a, x):
         adds = F.concat(F.coalesce(a["data"], F.lit("")), x["data"])
+        whole = F.when(x["csize"] > 0, F.substring(adds, F.lit(1), x["csize"])).otherwise(adds)
         return (
             F.when(x["op"] == "remove", zero)
             .when(x["op"] == "write", F.struct(x["data"].alias("data"), F.lit(True).alias("visible")))
             .when(x["op"] == "prepare", F.struct(x["data"].alias("data"), F.lit(False).alias("visible")))
-            .when(x["op"] == "commit", F.struct(adds.alias("data"), F.lit(True).alias("visible")))
+            .when(x["op"] == "commit", F.struct(whole.alias("data"), F.lit(True).alias("visible")))
             .otherwise(F.struct(adds.alias("data"), a["visible"].alias("visible")))
         )
 
-    rows = log.groupBy("id").agg(F.aggregate(entries, zero, step).alias("r"))
+    rows = live.groupBy("id").agg(F.aggregate(entries, zero, step).alias("r"))
     return rows.select("id", "r.data", "r.visible").filter("data IS NOT NULL")
 
 
+def to_groups(writes: DataFrame, groups: tuple[int, ...]) -> DataFrame:
+    """Each write to each of the groups."""
+    return writes.withColumn("group_id", F.explode(F.array(*[F.lit(g) for g in groups])))
+
+
+def bulk(requests: DataFrame, values: DataFrame, groups: tuple[int, ...]) -> DataFrame:
+    """(n, id, ts_sec, data, size, group_id): numbered requests (n, id, ts_sec) with their values (n, data), to each of the groups; as many of one as of the other."""
+    have, given = requests.count(), values.count()
+    if have != given:
+        raise StoreError(EINVAL, f"{have} requests with {given} values")
+    return to_groups(requests.join(values, "n").withColumn("size", F.length("data").cast("long")), groups)
+
+
+def offset_writes(log: DataFrame) -> DataFrame:
+    """(id, data): the values that (id, seq, offset, data) writes leave, laid over each other in order."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "offset", "data"))), lambda x: F.struct(x["offset"].cast("int").alias("offset"), x["data"].alias("data")))
+    return log.groupBy("id").agg(overlaid(parts).alias("data"))
+
+
+def cas_convert(replicas: DataFrame, converter, groups: tuple[int, ...], attempts: int = 10) -> DataFrame:
+    """(id, group_id, status, data): read the latest value, convert it, and swap it in each group against the digest that the group had.
+
+    ``replicas`` has id, group_id, ts_sec, record_flags, size, data, and
+    meanwhile: how often a group's value is changed by others between the read
+    and the write of one attempt and the next.  Such a group fails with an error
+    and is tried again; it fails for good after ``attempts``.  A converter that
+    changes nothing writes nothing (status 0, data as they were).  Groups
+    without the id take the write.
+    """
+    base = latest(replicas, ("ts_sec", "group_id", "data")).select("id", F.col("data").alias("_old"))
+    new = base.withColumn("_new", converter(F.col("_old")))
+    asked = new.withColumn("group_id", F.explode(F.array(*[F.lit(g) for g in groups])))
+    rows = asked.join(replicas.select("id", "group_id", "meanwhile"), ["id", "group_id"], "left")
+    lost = F.coalesce("meanwhile", F.lit(0)) >= attempts
+    same = F.col("_new").eqNullSafe(F.col("_old"))
+    status = F.when(~same & lost, F.lit(-EBADFD)).otherwise(F.lit(0))
+    return rows.select("id", "group_id", status.alias("status"), F.when(status == 0, F.col("_new")).otherwise(F.col("_old")).alias("data"))
+
+
 def overlaid(parts: Column) -> Column:
     """(offset, data) writes of a string value laid over each other in order; gaps are spaces."""
 
@@ -83,7 +129,7 @@ def overlaid(parts: Column) -> Column:
 
 
 def unexpired(log: DataFrame, now: Column | int, ttl: Column) -> DataFrame:
-    """The last cached write of each id that has not outlived its time to live (0: forever)."""
+    """The last cached write of each id that has not outlived its time to live (0: forever); ``now`` is a number or a column of one (a scalar subquery)."""
     rows = log.withColumn("ttl", ttl).groupBy("id").agg(F.max_by(F.struct("sec", "ttl", "event_id"), F.struct("sec", "event_id")).alias("r")).select("id", "r.*")
     return rows.filter((F.col("ttl") == 0) | (F.col("sec") + F.col("ttl") > now))
 

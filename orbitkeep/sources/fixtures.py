@@ -56,13 +56,31 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = keys(spark, sf_dir).select("k", "id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("group_id"))
     held = replicas(spark, sf_dir).select("k", "group_id", "ts_sec", "size", "user_flags", "record_flags")
     rows = asked.join(held, ["k", "group_id"], "left").selectExpr(
-        "k", "id", "group_id", "CASE WHEN size IS NULL OR record_flags = 128 THEN -2 WHEN user_flags = 2 THEN -84 ELSE 0 END status", "true is_final",
-        "CASE WHEN size IS NULL OR record_flags = 128 OR user_flags = 2 THEN 0 ELSE size END data_size", "ts_sec",
+        "k", "id", "group_id", "CASE WHEN (k + group_id) % 19 = 0 THEN -6 WHEN size IS NULL OR record_flags = 128 THEN -2 WHEN user_flags = 2 THEN -84 ELSE 0 END status", "true is_final",
+        "CASE WHEN (k + group_id) % 19 = 0 OR size IS NULL OR record_flags = 128 OR user_flags = 2 THEN 0 ELSE size END data_size", "ts_sec",
+        "NOT ((k + group_id) % 19 = 0 AND k % 2 = 0) is_reply", "(k * 3 + group_id * 5) % 7 * 10 + group_id arrival",
     )
-    acks = asked.filter("k % 5 = 0").selectExpr("k", "id", "group_id", "0 status", "k % 2 = 0 is_final", "CAST(0 AS BIGINT) data_size", "CAST(NULL AS BIGINT) ts_sec")
+    acks = asked.filter("k % 5 = 0").selectExpr("k", "id", "group_id", "0 status", "k % 2 = 0 is_final", "CAST(0 AS BIGINT) data_size", "CAST(NULL AS BIGINT) ts_sec", "true is_reply", "(k * 3 + group_id * 5) % 7 * 10 + group_id + 5 arrival")
     return rows.union(acks)
 
 
+def five_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicas in groups 1 to 5, of three versions; some are absent or not committed."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), _seconds("o_orderdate").alias("sec"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("group_id"))
+    return rows.filter("(k * 7 + group_id * 3) % 11 < 7").selectExpr(
+        "k", "group_id", "sha2(CAST(CAST(k AS STRING) AS BINARY), 256) id", "sec + (k * group_id + k div 5) % 3 * 86400 ts_sec", "k % 9 + group_id size", "CAST(IF((k + 3 * group_id) % 17 = 0, 128, 0) AS BIGINT) record_flags"
+    )
+
+
+def values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicas of documents in three groups, of two versions; a value may be changed meanwhile by others."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("group_id")).filter("(doc_id + group_id) % 7 <> 0")
+    return rows.selectExpr(
+        "doc_id id", "group_id", "(doc_id * group_id) % 2 ts_sec", "CAST(length(text) AS BIGINT) size", "CAST(IF((doc_id + 3 * group_id) % 13 = 0, 128, 0) AS BIGINT) record_flags",
+        "IF((doc_id * group_id) % 2 = 1, concat('new ', text), text) data", "CAST((doc_id + group_id) % 13 AS INT) meanwhile",
+    )
+
+
 #: The same tables for DuckDB, to stand before a SELECT.
 SQL = """
 WITH g3 AS (SELECT unnest([1, 2, 3]) AS group_id),
@@ -97,8 +115,15 @@ commits AS (
   FROM events),
 asked AS (SELECT k, id, group_id FROM keys, g3),
 replies AS (
-  SELECT a.k, a.id, a.group_id, CASE WHEN r.size IS NULL OR r.record_flags = 128 THEN -2 WHEN r.user_flags = 2 THEN -84 ELSE 0 END AS status, true AS is_final,
-         CASE WHEN r.size IS NULL OR r.record_flags = 128 OR r.user_flags = 2 THEN 0 ELSE r.size END AS data_size, r.ts_sec
+  SELECT a.k, a.id, a.group_id, CASE WHEN (a.k + a.group_id) % 19 = 0 THEN -6 WHEN r.size IS NULL OR r.record_flags = 128 THEN -2 WHEN r.user_flags = 2 THEN -84 ELSE 0 END AS status, true AS is_final,
+         CASE WHEN (a.k + a.group_id) % 19 = 0 OR r.size IS NULL OR r.record_flags = 128 OR r.user_flags = 2 THEN 0 ELSE r.size END AS data_size, r.ts_sec,
+         NOT ((a.k + a.group_id) % 19 = 0 AND a.k % 2 = 0) AS is_reply, (a.k * 3 + a.group_id * 5) % 7 * 10 + a.group_id AS arrival
   FROM asked a LEFT JOIN replicas r USING (k, group_id)
-  UNION ALL SELECT k, id, group_id, 0, k % 2 = 0, 0, NULL FROM asked WHERE k % 5 = 0)
+  UNION ALL SELECT k, id, group_id, 0, k % 2 = 0, 0, NULL, true, (k * 3 + group_id * 5) % 7 * 10 + group_id + 5 FROM asked WHERE k % 5 = 0),
+five_groups AS (
+  SELECT k, id, group_id, sec + (k * group_id + k // 5) % 3 * 86400 AS ts_sec, k % 9 + group_id AS size, (k + 3 * group_id) % 17 = 0 AS open
+  FROM base, (SELECT unnest([1, 2, 3, 4, 5]) AS group_id) WHERE (k * 7 + group_id * 3) % 11 < 7),
+object_values AS (
+  SELECT doc_id AS id, group_id, (doc_id * group_id) % 2 AS ts_sec, CASE WHEN (doc_id * group_id) % 2 = 1 THEN 'new ' || text ELSE text END AS data, (doc_id + 3 * group_id) % 13 = 0 AS open, (doc_id + group_id) % 13 AS meanwhile
+  FROM documents, g3 WHERE (doc_id + group_id) % 7 <> 0)
 """

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbitkeep.functions import keys
-from orbitkeep.model import ENOTSUP, ERANGE
-from orbitkeep.operators import reads, recovery, replies, routes, scan, stats, writes
+from orbitkeep.model import EINVAL, ENOTSUP, ENXIO, ERANGE, StoreError
+from orbitkeep.operators import reads, recovery, replies, routes, scan, stats, transfer, writes
+from orbitkeep.session import Session
 
 RECORD = "id string, group_id int, ts_sec long, size long, user_flags long, record_flags long"
 
@@ -15,7 +16,88 @@ RECORD = "id string, group_id int, ts_sec long, size long, user_flags long, reco
 def test_latest_and_quorum(spark):
     rows = spark.createDataFrame([("a", 1, 10, 5, 0, 0), ("a", 2, 10, 5, 0, 0), ("a", 3, 15, 5, 0, 0), ("b", 1, 10, 5, 0, 0), ("b", 2, 15, 5, 0, 0)], RECORD)
     assert {(r.id, r.group_id) for r in reads.latest(rows).collect()} == {("a", 3), ("b", 2)}
-    assert {(r.id, r.group_id) for r in reads.quorum(rows).collect()} == {("a", 1), ("a", 2), ("b", 2)}
+    ids = rows.select("id").union(spark.createDataFrame([("none",)], "id string"))
+    found = {(r.id, r.group_id, r.status) for r in reads.quorum(rows, ids, (1, 2, 3)).collect()}
+    assert found == {("a", 1, 0), ("a", 2, 0), ("b", 2, 0), ("b", 3, -2), *(("none", g, -2) for g in (1, 2, 3))}
+
+
+def test_quorum_is_of_the_groups_asked(spark):
+    rows = spark.createDataFrame([("a", 1, 10, 5, 0, 0), ("a", 2, 10, 5, 0, 0), ("a", 3, 15, 5, 0, 0)], RECORD)
+    chosen = lambda groups: {r.group_id for r in reads.quorum(rows, rows, groups).filter("status = 0").collect()}
+    assert chosen((1, 2, 3)) == {1, 2}
+    assert chosen((1, 2, 3, 4, 5)) == {3}  # two of five are no quorum: the newest
+
+
+def test_empty_requests_are_errors(spark):
+    rows = spark.createDataFrame([("a", 1, 10, 5, 0, 0)], RECORD)
+    with pytest.raises(StoreError) as e:
+        reads.bulk_read(rows, rows.limit(0), (1,))
+    assert e.value.errno == EINVAL
+    with pytest.raises(StoreError) as e:
+        writes.bulk(spark.range(2).withColumnRenamed("id", "n"), spark.range(1).selectExpr("id n", "'x' data"), (1,))
+    assert e.value.errno == EINVAL
+    with pytest.raises(StoreError) as e:
+        transfer.copy_scan(rows, 1, ())
+    assert e.value.errno == ENXIO
+    with pytest.raises(StoreError):
+        stats.document(rows, rows, 1 << 20)
+
+
+def test_sessions(spark):
+    first = Session(groups=(2, 1), namespace="ns")
+    names = spark.createDataFrame([("x", 10, 3), ("y", 10, 4)], "name string, ts_sec long, size long")
+    store = spark.createDataFrame([], RECORD)
+    store = first.write(store, names.withColumns({"user_flags": F.lit(0).cast("long"), "record_flags": F.lit(0).cast("long")}))
+    assert store.count() == 4 and {r.group_id for r in first.read(store, names).collect()} == {2}
+    assert first.with_(namespace="other").read(store, names).count() == 0
+    later = first.with_(groups=(1,), timestamp=20).write(store, names.filter("name = 'x'").selectExpr("name", "ts_sec", "9L size", "0L user_flags", "0L record_flags"))
+    assert {(r.group_id, r.ts_sec, r["size"]) for r in first.read_latest(later, names).collect()} == {(1, 20, 9), (1, 10, 4)}
+    assert {(r.group_id, r.status) for r in first.quorum_lookup(later, names.limit(1)).collect()} == {(1, 0)}
+    left = first.with_(groups=(2,)).remove(later, names)
+    assert {(r.prio, r.group_id, r.status) for r in first.lookup(left, names).collect()} == {(0, 2, -2), (1, 1, 0)}
+    outcomes, after = first.with_(groups=(3,)).send(left, 1, flags=16)
+    assert {r.status for r in outcomes.collect()} == {0} and {r.group_id for r in after.collect()} == {3}
+    answers = spark.createDataFrame([("a", -2, True, 0, True, 1)], "id string, status int, is_final boolean, data_size long, is_reply boolean, arrival int")
+    assert first.shown(answers).count() == 0 and first.with_(accept="all").shown(answers).count() == 1
+    assert not first.outcome(answers).first().ok and first.with_(checker=lambda s, n: n == 1).outcome(answers).first().ok
+    with pytest.raises(StoreError) as e:
+        first.with_(raises=True).outcome(answers)
+    assert e.value.errno == 2
+
+
+def test_custom_recovery(spark):
+    rows = recovery.infos(spark.createDataFrame([("a", 1, 10, 5, 0, 0), ("a", 2, 20, 5, 0, 0)], RECORD))
+    own = lambda k, o: k.selectExpr("id", "'copy' action", "infos[0].group_id src_group", "array(9) dst_groups", "1 more")
+    assert recovery.custom(rows, own, recovery.Options()).collect() == [("a", "copy", 2, [9])]
+    with pytest.raises(ValueError, match="dst_groups"):
+        recovery.custom(rows, lambda k, o: own(k, o).drop("dst_groups"), recovery.Options())
+    plan = recovery.actions(rows, recovery.Options())
+    assert recovery.applied(plan, recovery.Options()).count() == 1
+    assert recovery.applied(plan, recovery.Options(dry_run=True)).count() == 0
+    assert {r.ts_sec for r in recovery.selected(spark.createDataFrame([("a", 1, 10, 5, 0, 0), ("b", 1, 10, 5, 0, 128)], RECORD), recovery.Options(no_meta=True)).collect()} == {0, 10}
+
+
+def test_many_places_and_long_rings(spark, monkeypatch):
+    monkeypatch.setattr(replies, "PLACES", 7)
+    places = spark.range(50).selectExpr("id place")
+    assert replies.with_each(spark.range(9), places).distinct().count() == 450
+    ring = [(g, f"{g * 7919 + i * 104729:08x}", f"a{i}", i % 3) for g in (1, 2) for i in range(300)]
+    ids = [f"{i * 9999991 % (1 << 32):08x}" for i in range(400)]
+    found = routes.lookup(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(ring, "group_id int, ring_id string, address string, backend_id int"))
+    got = {(r.id, r.group_id): r.address for r in found.collect()}
+    for i in ids:
+        for g in (1, 2):
+            own = sorted((b, a) for h, b, a, _ in ring if h == g)
+            assert got[i, g] == max([x for x in own if x[0] <= i] or own)[1]
+    assert len(got) == 800 and routes.prefix_digits(300) == 3
+
+
+def test_places_in_a_partition_of_the_store(spark):
+    rows = spark.range(500).selectExpr("CAST(id % 3 AS INT) group_id", "substring(sha2(CAST(CAST(id AS STRING) AS BINARY), 256), 1, 8) id")
+    got = scan.placed(rows, digits=1).collect()
+    for g in range(3):
+        own = sorted(r for r in got if r.group_id == g)
+        assert [r.place for r in sorted(own, key=lambda r: r.id)] == list(range(1, len(own) + 1)) and {r.total for r in own} == {len(own)}
 
 
 def test_uncommitted_is_invisible(spark):
@@ -32,12 +114,12 @@ def test_range_page(spark, start, num):
 
 
 def test_scan_errors():
-    with pytest.raises(scan.ScanError) as e:
+    with pytest.raises(StoreError) as e:
         scan.in_ranges([("2", "1")])
     assert e.value.errno == ERANGE
-    with pytest.raises(scan.ScanError):
+    with pytest.raises(StoreError):
         scan.in_time(2, 1)
-    with pytest.raises(scan.ScanError) as e:
+    with pytest.raises(StoreError) as e:
         scan.check_flags(1 << 20)
     assert e.value.errno == ENOTSUP
 
@@ -80,9 +162,9 @@ def test_keyed_digest(spark):
 
 
 def test_checkers(spark):
-    rows = spark.createDataFrame([("a", g, s, True, 1, 0) for g, s in ((1, 0), (2, -2), (3, 0))] + [("b", 1, -6, True, 0, 0), ("b", 2, -2, True, 0, 0)], "id string, group_id int, status int, is_final boolean, data_size long, ts_sec long")
+    rows = spark.createDataFrame([("a", g, s, True, 1, 0, True, g) for g, s in ((1, 0), (2, -2), (3, 0))] + [("b", 1, -6, True, 0, 0, False, 1), ("b", 2, -2, True, 0, 0, True, 2), ("c", 1, -6, True, 0, 0, True, 2), ("c", 2, -2, True, 0, 0, True, 3)], "id string, group_id int, status int, is_final boolean, data_size long, ts_sec long, is_reply boolean, arrival int")
     ok = lambda c: {r.id: (r.ok, r.error) for r in replies.outcome(rows, c).collect()}
-    assert ok("quorum") == {"a": (True, 0), "b": (False, -2)}
+    assert ok("quorum") == {"a": (True, 0), "b": (False, -2), "c": (False, -6)}
     assert ok("all")["a"] == (False, -6)
     assert ok("no_check")["b"] == (True, 0)
     assert {(r.id, r.group_id) for r in replies.remove_on_fail(rows, "all").collect()} == {("a", 1), ("a", 3)}

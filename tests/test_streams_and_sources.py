@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from orbitkeep.operators import stats
+from orbitkeep.operators import stats, writes
 from orbitkeep.sources import fixtures, records
 from orbitkeep.streaming import expiry, hotkeys, notify
 
@@ -52,6 +52,28 @@ def test_expiry(spark, tmp_path):
     assert ("b", "expired") not in got
 
 
+def test_expiry_keeps_the_newest_write(spark, tmp_path):
+    """Batches out of order: an older write does not replace a newer one, and what outlived its time goes."""
+    path = str(tmp_path / "w")
+    schema = "id string, event_id long, sec long, ttl long"
+    batches = [[("a", 2, 200, 1000), ("b", 1, 150, 20)], [("a", 1, 190, 5), ("b", 3, 160, 100)], [("c", 4, 400, 0)], [("c", 5, 410, 0)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = [(r.id, r.event, r.until) for r in _run(spark, expiry.cache_events(stream, "100 seconds"), "newest", "update").collect()]
+    assert [x for x in got if x[0] == "a"] == [("a", "written", 1200), ("a", "written", 1200)]
+    assert ("b", "expired", 260) in got and ("c", "expired") not in {x[:2] for x in got}
+    every = spark.read.schema(schema).parquet(path)
+    assert {r.id for r in writes.unexpired(every, 410, F.col("ttl")).collect()} == {"a", "c"}
+
+
+def test_stalls_equal_batch(spark, log_dir):
+    late = F.when(F.col("event_id") % 3 == 0, 0).otherwise(-110)
+    got = _run(spark, expiry.stalls(_stream(spark, log_dir).withColumn("status", late)), "stalled", "append")
+    want = expiry.stalls_of(spark.read.parquet(log_dir).withColumn("status", late))
+    assert sorted(got.collect()) == sorted(want.collect()) and want.count()
+
+
 def test_windows_and_sessions(spark, log_dir):
     log = spark.read.parquet(log_dir)
     counts = _run(spark, expiry.windowed_counts(_stream(spark, log_dir), "1 hour", "1 hour"), "counted", "complete")
@@ -76,4 +98,7 @@ def test_key_dump_and_objects(spark, tmp_path):
     records.dump_keys(ids, str(tmp_path / "keys"))
     assert sorted(r.id for r in records.read_keys(spark, str(tmp_path / "keys")).collect()) == ["a", "b"]
     (tmp_path / "object.bin").write_bytes(b"12345")
-    assert records.objects_from_files(spark, str(tmp_path / "object.bin")).first()["size"] == 5
+    objects = records.objects_from_files(spark, str(tmp_path / "object.bin"))
+    assert objects.first()["size"] == 5
+    records.objects_to_files(objects.unionByName(objects.selectExpr("name", "ts_sec - 1 ts_sec", "size", "CAST('old' AS BINARY) data")), str(tmp_path / "out"))
+    assert [(p.name, p.read_bytes()) for p in (tmp_path / "out").iterdir()] == [("object.bin", b"12345")]
