@@ -70,9 +70,9 @@ def _hash_rows(decode):
         for batch in batches:
             for i in range(0, batch.num_rows, PAIRS):
                 x = batch.slice(i, PAIRS)
-                sets = _sets_of(x.column(1), decode)
-                cls = np.repeat(x.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.concatenate(sets).view(np.int64))], names=["cls", "h"])
+                sets = _sets_of(x.column(3), decode)
+                place = pa.array(np.repeat(np.arange(x.num_rows), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([*(x.column(k).take(place) for k in range(3)), pa.array(np.concatenate(sets).view(np.int64))], names=["cls", "comp", "n", "h"])
 
     return run
 
@@ -109,8 +109,9 @@ class Linker:
         return labelled(labelled(pairs, self.labels, "a", "ca"), self.labels, "b", "cb").filter("ca <> cb").select(*pairs.columns)
 
     def hash_rows(self, own: DataFrame) -> DataFrame:
-        """(cls, h): the hashes of the classes in ``own``."""
-        return own.select("cls").join(self.sets.select("cls", "body"), "cls").mapInArrow(_hash_rows(self.decode), "cls long, h long")
+        """(cls, comp, n, h): the hashes of the classes (cls, comp) in ``own``."""
+        sets = self.sets.select("cls", F.col("n").cast("int").alias("n"), "body")
+        return own.select("cls", "comp").join(sets, "cls").mapInArrow(_hash_rows(self.decode), "cls long, comp long, n int, h long")
 
     def still_open(self, members: DataFrame, centres: DataFrame) -> DataFrame:
         """Members, with comp, of the buckets that hold several components besides their centre.
@@ -133,7 +134,7 @@ def _possible(members: DataFrame, link: Linker) -> DataFrame:
     """Members (key, cls, comp, n, c) without those that no other member can be linked to."""
     num, den, scratch = link.num, link.den, link.scratch
     own = scratch.save(members.select("cls", "comp").distinct())
-    hashes = link.hash_rows(own).join(own, "cls")
+    hashes = link.hash_rows(own)
     shared = hashes.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
     c = scratch.save(hashes.join(shared, "h", "left_semi").groupBy("cls").agg(F.count("*").alias("c")).join(link.sets.select("cls", "n"), "cls"))
     rows = members.join(c, "cls")
@@ -150,39 +151,65 @@ def _prefix_pairs(own: DataFrame, link: Linker) -> DataFrame:
 
     With each set ordered from its rarest shingle, a linked pair shares one among
     the first n - t * n + 1 of both, and from the first shared one on, enough
-    shingles are left in both.  Pairs within the largest component of a shingle
-    are never looked at.
+    shingles are left in both.  A member too far from its first shared shingle
+    for even the smallest set with that shingle is no partner: in a family of
+    sets of like size, this leaves those that reach the threshold by their first
+    shared shingle, not all pairs.  Pairs within the largest component of a
+    shingle are never looked at.
     """
     num, den = link.num, link.den
-    hashes = link.hash_rows(own).join(own.join(link.sets.select("cls", "n"), "cls"), "cls")
-    counts = hashes.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("df"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "h")) - 1
-    first = hashes.join(counts, "h").withColumn("at", place).filter(f"{den} * at <= {den} * n - {num} * n AND lo < hi")
-    first = link.scratch.save(first.select("h", "cls", "comp", "n", "at", (F.col("comp") == F.col("main")).alias("in_main")))
+    of, within, whole = Window.partitionBy("h"), Window.partitionBy("h", "comp"), Window.partitionBy("cls")
+    rows = link.hash_rows(own).withColumn("k", F.count("*").over(within))
+    rows = rows.withColumns({"df": F.count("*").over(of), "main": F.max(F.struct("k", "comp")).over(of), "least": F.min("n").over(of)})
+    # shingles of one component only come first; of them the number is enough
+    rows = rows.filter("df > k").select("h", "cls", "comp", "n", F.col("df").cast("int").alias("df"), "least", (F.col("comp") == F.col("main.comp")).alias("in_main"))
+    place = F.col("n") - F.count("*").over(whole).cast("int") + F.row_number().over(whole.orderBy("df", "h")) - 1
+    first = rows.withColumn("at", place).filter(f"{den} * at <= {den} * n - {num} * n AND (n - at) * {den + num} >= {num} * (n + least)")
+    first = link.scratch.save(first.select("h", "cls", "comp", "n", "at", "in_main"))
     fits = f"least(a.n - a.at, b.n - b.at) * {den + num} >= {num} * (a.n + b.n) AND {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"
     pairs = first.filter("NOT in_main").alias("a").join(first.alias("b"), "h").filter(f"a.comp <> b.comp AND (b.in_main OR a.cls < b.cls) AND {fits}")
     return pairs.select(F.expr("least(a.cls, b.cls) a"), F.expr("greatest(a.cls, b.cls) b")).distinct()
 
 
-def link_members(members: DataFrame, sets: DataFrame, decode, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """Labels (node, component) of the classes that are linked to others; deletes ``members``."""
+def _small_pairs(rest: DataFrame, small: int) -> DataFrame:
+    """Pairs (a, b) of different components in the buckets of ``small`` members at most: less than ``small`` for each member."""
+    sizes = rest.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") <= small).select("key")
+    own = rest.join(sizes, "key")
+    return own.alias("a").join(own.alias("b"), "key").filter("a.cls < b.cls AND a.comp <> b.comp").select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+
+
+def link_members(members: DataFrame, sets: DataFrame, decode, scratch: Scratch, num: int, den: int, small: int = 0) -> DataFrame:
+    """Labels (node, component) of the classes that are linked to others; deletes ``members``.
+
+    Buckets of ``small`` members at most are compared in full.
+    """
     link = Linker(sets, decode, scratch, num, den)
-    # one centre a bucket; each class tries its likeliest centre before the others
+    # one centre a bucket
     centres = members.groupBy("key").agg(F.min("cls").alias("centre"))
     star = link.near(members.join(centres, "key").filter("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct())
-    link.confirm(star.groupBy("b").agg(F.max_by("a", "likeness").alias("a")))
-    link.confirm(link.apart(star.select("a", "b")))
+    if small:
+        link.confirm(star.select("a", "b"))
+    else:  # each class tries its likeliest centre before the others
+        link.confirm(star.groupBy("b").agg(F.max_by("a", "likeness").alias("a")))
+        link.confirm(link.apart(star.select("a", "b")))
     rest = link.still_open(members, centres)
     scratch.drop(members, star)
-
-    # what can still be linked, first by the centre that shares the most
-    rest = _possible(rest, link)
-    centre = rest.groupBy("key").agg(F.max_by(F.struct("cls", "comp", "n", "c"), F.expr("struct(c / n, -cls)")).alias("x")).select("key", "x.*")
-    star = centre.alias("a").join(rest.alias("b"), "key").filter(_fits(num, den)).select(F.expr("least(a.cls, b.cls) a"), F.expr("greatest(a.cls, b.cls) b")).distinct()
-    link.confirm(link.near(star))
-    # and then exactly: all that share a rare enough shingle
-    rest = link.still_open(rest, centre.select("key", F.col("cls").alias("centre")))
-    link.confirm(link.near(_prefix_pairs(rest.select("cls", "comp").distinct(), link)))
+    if small:
+        link.confirm(link.near(_small_pairs(rest, small)))
+        large = rest.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > small).select("key")
+        rest = labelled(rest.drop("comp").join(large, "key"), link.labels, "cls", "comp")
+        several = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+        rest = scratch.save(rest.join(several, "key").select("key", "cls", "comp"))
+
+    if rest.limit(1).count():
+        if not small:  # what can still be linked, first by the centre that shares the most
+            rest = _possible(rest, link)
+            centre = rest.groupBy("key").agg(F.max_by(F.struct("cls", "comp", "n", "c"), F.expr("struct(c / n, -cls)")).alias("x")).select("key", "x.*")
+            star = centre.alias("a").join(rest.alias("b"), "key").filter(_fits(num, den)).select(F.expr("least(a.cls, b.cls) a"), F.expr("greatest(a.cls, b.cls) b")).distinct()
+            link.confirm(link.near(star))
+            rest = link.still_open(rest, centre.select("key", F.col("cls").alias("centre")))
+        # and then exactly: all that share a rare enough shingle
+        link.confirm(link.near(_prefix_pairs(rest.select("cls", "comp").distinct(), link)))
     scratch.drop(rest)
     return link.labels
 

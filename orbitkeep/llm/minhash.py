@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .linking import bounded, labelled, link_members, one_each
-from .scratch import Scratch
+from .scratch import Scratch, unused
 
 SIDE, PER_KEY = 16, 4
 FRAGMENTS = SIDE * PER_KEY * 2
@@ -158,13 +158,16 @@ def query(spark, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` whose document is kept, as they are; of rows with one id, one stays.
 
-    Rows of a null id cannot be told apart and stay.
+    Rows of a null id cannot be told apart and stay.  Documents without words
+    are linked with nothing and stay; an empty table gives no rows; other
+    columns may have any names.
     """
+    id_ = unused("id", docs.columns)
     found = near_duplicates(docs, id_col, text_col, num, den).filter(F.col("doc_id").isNotNull())
-    gone = Scratch(docs.sparkSession).save(found.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct())
-    left = docs.join(bounded(gone, gone.count()), F.col(id_col) == F.col("_id"), "left_anti")
-    twice = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("n")).filter("n > 1").select("_id")
+    gone = Scratch(docs.sparkSession).save(found.filter("NOT kept").select(F.col("doc_id").alias(id_)).distinct())
+    left = docs.join(bounded(gone, gone.count()), F.col(id_col) == F.col(id_), "left_anti")
+    twice = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(id_)).agg(F.count("*").alias("n")).filter("n > 1").select(id_)
     if not twice.limit(1).count():
         return left
-    same = F.col(id_col) == F.col("_id")
+    same = F.col(id_col) == F.col(id_)
     return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates([id_col]))

@@ -83,13 +83,13 @@ def plan(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scratch.save(rows.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit("")).alias("cut")))
 
 
-def with_copies(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds copies, source_size and target to ``docs``; columns of those names are replaced."""
-    plan = plan.withColumnRenamed("source", "_source")
-    kept = [c for c in docs.columns if c not in ("copies", "source_size", "target")]
-    rows = docs.select(*kept).join(F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan, F.col("source").eqNullSafe(F.col("_source")))
-    copies = F.col("whole") + (_hash(F.col(id_col), F.col("text")) < F.col("cut")).cast("long")
-    return rows.select(*kept, "source_size", "target", copies.alias("copies"))
+def with_copies(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(row, copies, source_size, target) for each row of ``docs``, which stands in the struct ``row`` whatever its columns are called."""
+    small = plan.count() <= BROADCAST_ROWS
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(F.broadcast(plan) if small else plan, F.col("row")[source_col].eqNullSafe(F.col("source")))
+    copies = F.col("whole") + (_hash(F.col("row")[id_col], F.col("row")[text_col]) < F.col("cut")).cast("long")
+    return rows.select("row", copies.alias("copies"), "source_size", "target")
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -100,14 +100,19 @@ def taken(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     an empty table gives no rows; other columns are ignored.
     """
     rows = with_copies(docs.select(F.col(id_col).alias("doc_id"), "source", "text"), plan(docs, id_col))
-    size = ts.word_count(F.col("text"))
-    return rows.select("doc_id", size.alias("size"), "source_size", "target", (size * F.col("copies")).alias("taken"))
+    size = ts.word_count(F.col("row.text"))
+    return rows.select("row.doc_id", size.alias("size"), "source_size", "target", (size * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents of the mix, with the columns of ``docs``; a document taken twice is there twice."""
+    """The documents of the mix, with the columns of ``docs``; a document taken twice is there twice.
+
+    Null texts, null sources, repeated rows and empty tables as in ``taken``: a
+    document without words is taken like others, as often as its hash says.
+    Columns may have any names; they stay as they are.
+    """
     rows = with_copies(docs, plan(docs, id_col)).filter("copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -148,10 +148,18 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFr
 
 
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, as they are."""
+    """The rows of ``docs`` that the classifier accepts, as they are.
+
+    Null texts are scored as empty ones; repeated rows are judged each, rows
+    without an id like others; an empty table gives no rows; other columns may
+    have any names.
+    """
     model = learn(docs, labels, id_col)
-    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    return features(docs, [whole]).filter(score(model) >= CUT).select("row.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    # A filter moves below the columns that it reads and computes each feature again for every rule that names it.
+    # It stays above a column that the optimiser may not evaluate twice, so the features are computed once.
+    rows = features(docs, [whole]).select("row", score(model).alias("score"), F.spark_partition_id().alias("at"))
+    return rows.filter((F.col("score") >= CUT) & (F.col("at") >= 0)).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,36 +2,63 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
+from collections.abc import Iterable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether a finished action's shuffle files go at once, else only when the driver's garbage is collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_users: dict[int, list] = {}
+
+
+def unused(name: str, taken: Iterable[str]) -> str:
+    """``name``, behind underscores if need be, as no column of ``taken`` is called in any case."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
 
 class Scratch:
-    """Parquet tables under ``spark.checkpoint.dir``.
+    """Parquet tables under ``spark.checkpoint.dir`` or, where that is unset, under the warehouse.
 
-    A written table survives lost executors and is not computed again.  Where
-    the setting is missing (local tests), a temporary folder takes its place.
+    A written table survives lost executors and is not computed again.  Tables
+    go when ``drop`` is called or, at the latest, when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        self.base = f"{base or tempfile.mkdtemp(prefix='orbitkeep-')}/tables-{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        self.base = f"{base}/tables-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
+        where, files = self._files(self.base)
+        files.mkdirs(where)  # only what exists can be marked
+        files.deleteOnExit(where)
+
+    def _files(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     @contextmanager
     def _leaving_no_shuffle_files(self):
-        """What runs within needs its shuffle files no longer when it ends; else they stay until the driver's garbage is collected."""
-        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key, None)
-        self.spark.conf.set(key, "true")
+        """Actions within need their shuffle files no longer when they end; the setting is restored when the last of concurrent users is done."""
+        conf, key = self.spark.conf, id(self.spark)
+        with _lock:
+            own = _users.setdefault(key, [0, conf.get(_CLEANUP, None)])
+            own[0] += 1
+            conf.set(_CLEANUP, "true")
         try:
             yield
         finally:
-            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
+            with _lock:
+                own[0] -= 1
+                if not own[0]:
+                    del _users[key]
+                    conf.unset(_CLEANUP) if own[1] is None else conf.set(_CLEANUP, own[1])
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{uuid.uuid4().hex}"
@@ -47,8 +74,7 @@ class Scratch:
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
         for table in tables:
             if table is not None and (path := self._paths.pop(id(table), None)):
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+                where, files = self._files(path)
+                files.delete(where, True)

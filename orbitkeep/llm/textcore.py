@@ -37,8 +37,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
+#: Numbers that are worked on at once, so that they stay in the cache.
+BLOCK = 1 << 14
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x *= np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(33)
@@ -47,6 +50,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every input bit reaches every output bit."""
+    if x.size <= BLOCK:
+        return _mixed(x)
+    flat_ = np.ascontiguousarray(x).reshape(-1)
+    out = np.empty_like(flat_)
+    for i in range(0, len(flat_), BLOCK):
+        out[i : i + BLOCK] = _mixed(flat_[i : i + BLOCK])
+    return out.reshape(x.shape)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the n + 1 offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -119,13 +133,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.n
     return mix(out), at
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    own = np.sort(values)
+    return own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[np.ndarray]:
     """Each row's sorted distinct shingle hashes."""
     h, at = shingles(data, offsets, size)
-    out = []
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        own = np.sort(h[a:b])
-        if len(own) > 1:
-            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-        out.append(own)
-    return out
+    return [distinct(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from orbitkeep.llm import linededup, minhash
@@ -84,44 +85,110 @@ def test_documents_odd_rows(spark):
     assert left.columns == docs.columns and left.count() == 1
 
 
-def brute_lines(docs):
+def line_of(text):
+    """A line as compared: trimmed, A-Z lower-cased."""
+    return fold(text.strip(" \t\n\x0b\f\r")).decode()
+
+
+def grams(line, size=5):
+    return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
+
+
+def order(document):
+    return document[0] is not None, document[0] or 0, document[1]
+
+
+def brute_lines(docs, digest):
+    """For each document (id, text), told apart by both, the numbers of its lines to drop."""
     seen, occurrences = {}, []
-    for k, t in docs:
+    for k, t in sorted({(k, t) for k, t in docs}, key=lambda x: order((x[0], digest[x[1]]))):
         for i, line in enumerate((t or "").split("\n")):
-            if b := fold(line.strip(" \t\n\x0b\f\r")):
-                occurrences.append((k, i, b))
+            if b := line_of(line):
+                occurrences.append((k, t, i, b))
                 seen.setdefault(b, len(seen))
-    groups = components([{b[i : i + 8] for i in range(max(1, len(b) - 7))} for b in seen], 80, 100)
+    groups = components([grams(b) for b in seen], 80, 100)
     kept, gone = set(), defaultdict(list)
-    for k, i, b in occurrences:
+    for k, t, i, b in occurrences:
         if groups[seen[b]] in kept:
-            gone[k].append(i)
+            gone[k, t].append(i)
         kept.add(groups[seen[b]])
     return gone
 
 
+def digests(frame):
+    return {r.text: r.d for r in frame.selectExpr("text", "xxhash64(text) d").collect()}
+
+
+def check_lines(spark, docs):
+    frame = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    gone = brute_lines(docs, digests(frame))
+
+    def left(k, t):
+        if not gone[k, t]:
+            return t
+        rest = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k, t])
+        return rest if rest.strip() else ""
+
+    got = sorted(((r.doc_id, r.text, r.dropped_lines, r.n_lines) for r in linededup.dedup_lines(frame).collect()), key=repr)
+    assert got == sorted(((k, left(k, t), gone[k, t], 0 if t is None else len(t.split("\n"))) for k, t in docs), key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in linededup.without_repeats(frame).collect()), key=repr)
+    assert kept == sorted(((k, left(k, t)) for k, t in docs if not gone[k, t] or left(k, t)), key=repr)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lines_equal_brute_force(spark, seed):
     rng = random.Random(seed)
-    pool = families(seed + 10, 6)
-    docs = [(k, "\n".join(rng.choice([*pool, "", " ", "ab", "AB "]) for _ in range(rng.randint(0, 6)))) for k in range(25)] + [(99, None)]
-    frame = spark.createDataFrame(docs, SCHEMA)
-    gone = brute_lines(docs)
-    for r in linededup.dedup_lines(frame).collect():
-        text = dict(docs)[r.doc_id]
-        assert r.dropped_lines == gone[r.doc_id]
-        if not gone[r.doc_id]:
-            assert r.text == text
-        else:
-            left = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[r.doc_id])
-            assert r.text == (left if left.strip() else "")
-    kept = {r.doc_id for r in linededup.without_repeats(frame).collect()}
-    assert kept == {k for k, t in docs if not gone[k] or "".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]).strip()}
+    pool = [*families(seed + 10, 6), *(x.replace("w", "é漢") for x in families(seed + 20, 3))]
+    check_lines(spark, [(k, "\n".join(rng.choice([*pool, "", " ", "ab", "AB "]) for _ in range(rng.randint(0, 6)))) for k in range(25)] + [(99, None)])
+
+
+def test_lines_of_repeated_and_null_ids(spark):
+    rng = random.Random(3)
+    pool = families(31, 4)
+    docs = [(rng.choice([None, 5, 6, 7]), "\n".join(rng.choice(pool) + rng.choice(["", f" own {rng.random()}"]) for _ in range(rng.randint(0, 5)))) for _ in range(40)]
+    docs += [(None, "shared words here\nunique alpha beta gamma"), (None, "quite other things\nshared words here"), (5, "theta iota kappa"), (5, "theta iota kappa"), (5, "shared words here\nlambda my ny")]
+    check_lines(spark, docs)
 
 
 def test_lines_odd_rows(spark):
-    docs = spark.createDataFrame([(None, "x y z\nq"), (1, "x y z"), (1, "x y z"), (2, "")], SCHEMA).selectExpr("*", "1 n_lines", "'a' cls", "5 key")
+    docs = spark.createDataFrame([(None, "x y z\nq"), (1, "x y z"), (1, "x y z"), (2, "")], SCHEMA).selectExpr("*", "1 n_lines", "'a' cls", "5 key", "6 _id", "7 _dropped", "8 _parts", "9 id", "10 DIGEST", "11 dropped", "12 parts", "13 dropped_lines")
     got = {(r.doc_id, r.text, tuple(r.dropped_lines)) for r in linededup.dedup_lines(docs).collect()}
     assert got == {(None, "x y z\nq", ()), (1, "", (0,)), (2, "", ())}
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
-    assert linededup.without_repeats(docs).columns == docs.columns
+    left = linededup.without_repeats(docs)
+    assert left.columns == docs.columns
+    assert sorted(tuple(r)[2:] for r in left.collect()) == [(1, "a", *range(5, 14))] * 2
+
+
+def test_edits_of_one_character_are_found_from_49_characters_on():
+    rng = np.random.default_rng(4)
+    for letters in ("abcdefghij klmnop", "éèüßñ 漢字かな🙂"):
+        for size, same in ((49, True), (48, False), (200, True)):
+            line = "".join(rng.permutation(list(letters * 20))[:size])
+            other = line[: size // 2] + "Ω" + line[size // 2 + 1 :]
+            sets = [linededup.gram_sets(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))[0] for x in (line, other)]
+            if len(grams(line)) == size - 4:
+                assert [len(s) for s in sets] == [len(grams(x)) for x in (line, other)]
+                both = len(np.intersect1d(*sets))
+                assert both == len(grams(line) & grams(other)) and (100 * both >= 80 * (len(sets[0]) + len(sets[1]) - both)) == same
+
+
+def test_recall_of_bands():
+    """Pairs of lines at a similarity from 0.8 on share a band, whatever their length."""
+    rng = random.Random(5)
+    for low, high, n, most in ((20, 45, 3000, 0.004), (50, 120, 3000, 0.003), (200, 600, 800, 0.003)):
+        pairs = []
+        while len(pairs) < n:
+            line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(low, high)))
+            other = list(line)
+            for _ in range(rng.randint(1, 1 + len(line) // 50)):
+                at = rng.choice([rng.randrange(len(other)), 0, len(other) - 1])
+                other[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
+            a, b = grams(line), grams("".join(other))
+            if 0.8 <= len(a & b) / len(a | b) < 0.9:
+                pairs.append((line.encode(), "".join(other).encode()))
+        data = np.frombuffer(b"".join(x for p in pairs for x in p), np.uint8)
+        at = np.concatenate([[0], np.cumsum([len(x) for p in pairs for x in p])])
+        table = linededup.signatures(*linededup.line_shingles(data, at[:-1], at[1:])).reshape(-1, 2, linededup.BANDS, linededup.ROWS)
+        met = (table[:, 0] == table[:, 1]).all(axis=2).any(axis=1)
+        assert 1 - met.mean() <= most, (low, high, 1 - met.mean())
