@@ -15,4 +15,4 @@ QUERIES = {
     "op10_quality_classifier": rulefit.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": urlfilter.ORACLE, "op6_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": urlfilter.ORACLE, "op6_mixing": mixing.ORACLE, "op9_quality_rules": qualityrules.ORACLE}
