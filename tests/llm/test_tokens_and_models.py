@@ -62,12 +62,86 @@ def test_likelihoods(spark):
     assert lm.scored(frame(spark, texts).limit(0)).count() == 0
 
 
-def test_model_is_normalised():
-    model = lm.Model(np.arange(lm.WORDS + lm.ENDINGS, dtype=float))
-    state = model.state(1)
+def _small_model(monkeypatch, words=40):
+    monkeypatch.setattr(lm, "LEAST_WORDS", words)
     rng = np.random.default_rng(2)
-    model.train(rng.integers(0, 99, 500), rng.integers(0, 99, 500), state)
-    assert np.allclose((10.0 ** model.log10_table()[:50]).sum(axis=1), 1, atol=1e-3)
+    ids, counts, endings = rng.permutation(10_000)[:300].astype(np.int64), rng.integers(1, 99, 300), rng.integers(0, lm.ENDINGS, 300)
+    lookup = lm.Lookup(ids, counts, endings, lm.words_of(300))
+    weights = rng.integers(0, 99, lookup.first[-1]).astype(float)
+    return lookup, lm.Model(weights, lookup.first), rng
+
+
+def test_model_is_normalised(monkeypatch):
+    lookup, model, rng = _small_model(monkeypatch)
+    n = len(model.bias)
+    assert n == 40 + lm.ENDINGS and lm.words_of(300) == 40 and lm.words_of(1 << 22) == 1 << 14 and lm.words_of(1 << 40) == lm.MOST_WORDS
+    state = model.state(1)
+    for _ in range(20):
+        model.train(rng.integers(0, n, (500, lm.CONTEXT)), rng.integers(0, n, 500), state)
+    contexts = rng.integers(0, n, (30, lm.CONTEXT))
+    p = np.stack([10.0 ** model.log10(contexts, np.full(30, j)) for j in range(n)])
+    assert np.allclose(p.sum(axis=0), 1, atol=1e-3)
+    # against the plain formula
+    x = sum(model.context[contexts[:, k]].astype(float) * model.position[k] for k in range(lm.CONTEXT))
+    soft = lambda s: np.exp(s) / np.exp(s).sum(axis=1, keepdims=True)
+    ending = soft(x @ model.ending.T + model.ending_bias)
+    for j in range(0, n, 7):
+        e = model.ending_of[j]
+        own = slice(model.first[e], model.first[e + 1])
+        want = ending[:, e] * soft(x @ model.word[own].T + model.bias[own])[:, j - model.first[e]]
+        assert np.allclose(p[j], want, rtol=1e-3)
+
+
+def test_gradient_of_the_noise_contrastive_objective(monkeypatch):
+    """One small step changes parameters along the gradient of the objective, computed by differences with the same noise."""
+    lookup, model, rng = _small_model(monkeypatch)
+    n = len(model.bias)
+    before, after = rng.integers(0, n, (64, lm.CONTEXT)), rng.integers(0, n, 64)
+
+    def objective(m, seed=3):
+        r = np.random.default_rng(seed)
+        x, e = m.predicted(before).astype(float), m.ending_of[after]
+        state = m.state(seed)
+        noise = np.searchsorted(state["endings"], r.random(lm.NOISE))
+        logs = lambda t: -np.log1p(np.exp(-t))
+        offset = np.log(lm.NOISE * m.of_ending)
+        out = logs((x * m.ending[e]).sum(1) + m.ending_bias[e] - offset[e]).sum() + logs(-(x @ m.ending[noise].T + m.ending_bias[noise] - offset[noise])).sum()
+        drawn = np.searchsorted(state["words"], state["start"][e][:, None] + r.random((64, lm.WORD_NOISE)), side="right")
+        drawn = np.clip(drawn, m.first[e][:, None], m.first[e + 1][:, None] - 1)
+        assert (m.ending_of[drawn] == e[:, None]).all()
+        s = lambda w: np.einsum("id,ikd->ik", x, m.word[w].astype(float)) + m.bias[w] - np.log(lm.WORD_NOISE * m.within[w])
+        return out + logs(s(after[:, None])).sum() + logs(-s(drawn)).sum()
+
+    steps = {}
+    monkeypatch.setattr(lm.Model, "_step", lambda self, name, state, g: steps.__setitem__(name, np.asarray(g).reshape(getattr(self, name).shape)))
+    model.train(before, after, {**model.state(3), "rng": np.random.default_rng(3)})
+    for name, at in (("context", (before[0, 0], 3)), ("word", (after[1], 5)), ("bias", (after[2],)), ("ending", (model.ending_of[after[0]], 1)), ("ending_bias", (model.ending_of[after[3]],))):
+        own = getattr(model, name).astype(np.float64)
+        setattr(model, name, own)
+        ups = []
+        for step in (1e-4, -1e-4):
+            own[at] += step
+            ups.append(objective(model))
+            own[at] -= step
+        assert steps[name][at] == pytest.approx((ups[0] - ups[1]) / 2e-4, rel=1e-3, abs=1e-4), name
+
+
+def test_words_outside_the_head(spark, monkeypatch):
+    """Counts of words that are joined, not broadcast, are as exact."""
+    monkeypatch.setattr(lm, "HEAD", 8)
+    monkeypatch.setattr(lm, "GATHER", 4)
+    test_likelihoods(spark)
+
+
+def test_tasks_do_not_shorten_training(spark, monkeypatch):
+    """Units of tokens, not tasks, are what is averaged: as one task or as several, the model is about as good."""
+    monkeypatch.setattr(lm, "UNIT", 1000)
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice([("a b c d", "x y z w"), ("k l m n", "o p q r")][t % 2]) for _ in range(60)) for t in range(200)]
+    docs, scores = frame(spark, texts), []
+    for n in (1, 4):
+        scores.append(sum(r.score for r in lm.scored(docs.repartition(n)).filter("held_out").collect()))
+    assert abs(scores[0] - scores[1]) < 0.03 * abs(scores[0])
 
 
 def brute_anchors(data):
