@@ -144,16 +144,56 @@ def test_tasks_do_not_shorten_training(spark, monkeypatch):
     assert abs(scores[0] - scores[1]) < 0.03 * abs(scores[0])
 
 
+WORD = (1 << 64) - 1
+
+
+def finished(x):
+    """The 64-bit finaliser, on Python's integers."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = ((x ^ x >> 33) * factor) & WORD
+    return x ^ x >> 33
+
+
+def hash_of(data):
+    """Hash of a short run of bytes by its definition: a polynomial in the bytes' codes, finished."""
+    h = 0
+    for c in data:
+        h = (h * 0x9E3779B97F4A7C15 + int(syncmers._CODES[c])) & WORD
+    return finished(h)
+
+
 def brute_anchors(data):
-    if len(data) < syncmers.K:
-        return {0} if data else set()
-    h = syncmers._rolling(np.frombuffer(data, np.uint8), syncmers.S)
-    out = set()
-    for i in range(len(data) - syncmers.K + 1):
-        own = h[i : i + syncmers.K - syncmers.S + 1]
-        if own.min() in (own[0], own[-1]):
-            out.add(i)
-    return out or {0}  # a text without one is an anchor itself, so only the empty text has none
+    """Places of the closed syncmers; a text without one is an anchor itself, so only the empty text has none."""
+    small = [hash_of(data[i : i + syncmers.S]) for i in range(len(data) - syncmers.S + 1)]
+    span = syncmers.K - syncmers.S + 1
+    out = {i for i in range(len(data) - syncmers.K + 1) if min(small[i : i + span]) in (small[i], small[i + span - 1])}
+    return out or ({0} if data else set())
+
+
+def brute_hashes(data):
+    """Hashes of the anchors by place."""
+    if len(data) < syncmers.K or all(min(x) not in (x[0], x[-1]) for x in ([hash_of(data[i + j : i + j + syncmers.S]) for j in range(syncmers.K - syncmers.S + 1)] for i in range(len(data) - syncmers.K + 1))):
+        return [int.from_bytes(hashlib.blake2b(data, digest_size=4).digest(), "little")] if data else []
+    out = []
+    for i in sorted(brute_anchors(data)):
+        a, b, c = (hash_of(data[i + j : i + j + syncmers.S]) for j in (0, (syncmers.K - syncmers.S) // 2, syncmers.K - syncmers.S))
+        out.append(finished(a ^ (b * 0x9E3779B97F4A7C15 & WORD) ^ finished(c)) >> 32)
+    return out
+
+
+def brute_print(hashes):
+    kept = set(sorted(set(hashes))[: syncmers.KEEP])
+    return f"{len(set(hashes))}:" + "".join(f"{h:08x}" for h in dict.fromkeys(hashes) if h in kept)
+
+
+def common_in_order(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(row[j + 1], new[j], row[j] + (x == y)))
+        row = new
+    return row[-1]
 
 
 def test_anchors_equal_brute_force_and_move_with_their_passage():
@@ -175,14 +215,25 @@ def test_next_documents(spark):
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 bucket", "true own").repartition(5)
     got = {r.doc_id: r for r in syncmers.with_next(docs).collect()}
     assert len(got) == len(rows)
+    compared = 0
     for (k, t), (_, u) in zip(rows, rows[1:] + rows[:1], strict=True):
         t, u = t or "", u or ""
         edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
         r = got[k]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        own, next_, new = syncmers._fingerprints([t.encode(), u.encode(), edited.encode()])
-        assert (r.fingerprint, r.edited_fingerprint) == (syncmers.text_of(own), syncmers.text_of(new))
-        assert (r.near_edited, r.near_next) == (syncmers.likeness(own, new), syncmers.likeness(own, next_))
+        own, next_, new = (brute_hashes(x.encode()) if len(x) < 1000 else None for x in (t, u, edited))
+        if own is None or next_ is None or new is None:
+            continue
+        assert (r.fingerprint, r.edited_fingerprint) == (brute_print(own), brute_print(new))
+        for near, other in ((r.near_edited, new), (r.near_next, next_)):
+            if not own or not other:
+                assert near == float(own == other)
+                continue
+            most = 2 * common_in_order(own, other) / (len(own) + len(other))
+            unique = len(set(own)) == len(own) and len(set(other)) == len(other)
+            assert near == pytest.approx(most) if unique else near <= most + 1e-9
+            compared += unique
+    assert compared > 60
 
 
 def test_next_documents_odd_rows(spark):
