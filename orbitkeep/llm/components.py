@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _is_forest_of_stars(links: DataFrame, scratch: Scratch) -> bool:
-    twice = scratch.count(links.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").limit(1))
-    return not twice and not scratch.count(links.select("a").join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1))
+def _fingerprint(links: DataFrame, scratch: Scratch) -> tuple:
+    with scratch.leaving_no_shuffle_files():
+        return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -28,14 +28,16 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     now = scratch.save(links.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
-    while not _is_forest_of_stars(now, scratch):
+    mark, changed = _fingerprint(now, scratch), True
+    while changed:  # until a round leaves the links as they were
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.save(large)
+        large = scratch.save(both.filter(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         after = scratch.save(small)
         scratch.drop(now, large)
-        now = after
+        now, old = after, mark
+        mark = _fingerprint(now, scratch)
+        changed = mark != old
     return now.select(a.alias("node"), b.alias("component")).union(now.select(b.alias("node"), b.alias("component")).distinct())

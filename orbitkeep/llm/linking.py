@@ -36,12 +36,56 @@ def _estimate(least: float):
         for x in batches:
             if x.num_rows:
                 p, q = (np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint8).reshape(x.num_rows, -1) for k in (2, 3))
-                same = ((p == q).mean(axis=1) * 256 - 1) / 255  # unequal minima share a byte once in 256
+                same = _likeness(p, q)
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(same)], names=["a", "b", "likeness"]).filter(pa.array(same >= least))
 
     return run
 
 
+def _met(num: int, den: int):
+    """Of rows sorted by shingle (h, cls, comp, n, at, in_main, marks), the pairs (a, b) of different components that can reach the threshold."""
+
+    def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
+        h, cls, comp, n, at, main, marks = rows
+        left, out, d = np.arange(len(h)), [], 0
+        while len(left):  # each row with the one d places on, while that has the same shingle
+            d += 1
+            left = left[left + d < len(h)]
+            left = left[h[left] == h[left + d]]
+            i, j = left, left + d
+            keep = (comp[i] != comp[j]) & ~(main[i] & main[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+            i, j = i[keep], j[keep]
+            keep = np.minimum(n[i] - at[i], n[j] - at[j]) * (den + num) >= num * (n[i] + n[j])
+            i, j = i[keep], j[keep]
+            for k in range(0, len(i), 1 << 14):
+                p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                near = _likeness(marks[p], marks[q]) >= num / den - SLACK
+                out.append(np.stack([np.minimum(cls[p], cls[q]), np.maximum(cls[p], cls[q])], axis=1)[near])
+        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    def run(batches):
+        held = None  # the last shingle's rows, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]] + [np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, -1)]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+            if cut:
+                yield pairs([x[:cut] for x in rows])
+            held = [x[cut:] for x in rows]
+        if held is not None:
+            yield pairs(held)
+
+    return run
+
+
+def _likeness(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Estimated similarities from marks; unequal minima share a byte once in 256."""
+    return ((p == q).mean(axis=1) * 256 - 1) / 255
+
+
 def _sets_of(column: pa.Array, decode) -> list[np.ndarray]:
     """The sets of a column of bodies."""
     out: list[np.ndarray] = []
@@ -96,8 +140,9 @@ class Linker:
         return self.scratch.save(both.mapInArrow(_estimate(self.num / self.den - SLACK), "a long, b long, likeness double"))
 
     def confirm(self, pairs: DataFrame) -> None:
+        """Link the pairs, of a saved table, that reach the threshold."""
         bodies = self.sets.select("cls", "body")
-        both = pairs.select("a", "b").join(bodies.toDF("a", "pa"), "a").join(bodies.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
+        both = bodies.toDF("a", "pa").join(bounded(pairs.select("a", "b"), pairs.count()), "a").join(bodies.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
         links = both.mapInArrow(_confirm(self.num, self.den, self.decode), "a long, b long")
         if self.labels is not None:
             links = links.union(self.labels.toDF("a", "b"))
@@ -166,9 +211,12 @@ def _prefix_pairs(own: DataFrame, link: Linker) -> DataFrame:
     place = F.col("n") - F.count("*").over(whole).cast("int") + F.row_number().over(whole.orderBy("df", "h")) - 1
     first = rows.withColumn("at", place).filter(f"{den} * at <= {den} * n - {num} * n AND (n - at) * {den + num} >= {num} * (n + least)")
     first = link.scratch.save(first.select("h", "cls", "comp", "n", "at", "in_main"))
-    fits = f"least(a.n - a.at, b.n - b.at) * {den + num} >= {num} * (a.n + b.n) AND {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"
-    pairs = first.filter("NOT in_main").alias("a").join(first.alias("b"), "h").filter(f"a.comp <> b.comp AND (b.in_main OR a.cls < b.cls) AND {fits}")
-    return pairs.select(F.expr("least(a.cls, b.cls) a"), F.expr("greatest(a.cls, b.cls) b")).distinct()
+    # pairs of one shingle are met, estimated and thinned out in the task that holds it
+    marked = first.join(link.sets.select("cls", "marks"), "cls").repartition("h").sortWithinPartitions("h", "cls")
+    pairs = marked.select("h", "cls", "comp", "n", "at", "in_main", "marks").mapInArrow(_met(num, den), "a long, b long")
+    pairs = link.scratch.save(pairs.distinct())
+    link.scratch.drop(first)
+    return pairs
 
 
 def _small_pairs(rest: DataFrame, small: int) -> DataFrame:
@@ -190,8 +238,8 @@ def link_members(members: DataFrame, sets: DataFrame, decode, scratch: Scratch,
     if small:
         link.confirm(star.select("a", "b"))
     else:  # each class tries its likeliest centre before the others
-        link.confirm(star.groupBy("b").agg(F.max_by("a", "likeness").alias("a")))
-        link.confirm(link.apart(star.select("a", "b")))
+        link.confirm(scratch.save(star.groupBy("b").agg(F.max_by("a", "likeness").alias("a"))))
+        link.confirm(scratch.save(link.apart(star.select("a", "b"))))
     rest = link.still_open(members, centres)
     scratch.drop(members, star)
     if small:
@@ -209,7 +257,7 @@ def link_members(members: DataFrame, sets: DataFrame, decode, scratch: Scratch,
             link.confirm(link.near(star))
             rest = link.still_open(rest, centre.select("key", F.col("cls").alias("centre")))
         # and then exactly: all that share a rare enough shingle
-        link.confirm(link.near(_prefix_pairs(rest.select("cls", "comp").distinct(), link)))
+        link.confirm(_prefix_pairs(rest.select("cls", "comp").distinct(), link))
     scratch.drop(rest)
     return link.labels
 

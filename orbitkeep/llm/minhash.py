@@ -81,16 +81,16 @@ def _groups(sets: list[np.ndarray], most: int = 1 << 17):
 
 def _signatures(batches):
     for batch in batches:
-        ids, col = batch.column(0), batch.column(1)
-        for i, j, data, offsets in tc.chunks(col):
+        ids, digests = batch.column(0), batch.column(1)
+        for i, j, data, offsets in tc.chunks(batch.column(2)):
             sets = tc.shingle_sets(data, offsets)
             keys = np.concatenate([minhashes(sets[p:q]) for p, q in _groups(sets)])
             sub = tc.mix(np.sum(tc.mix(keys).reshape(len(sets), 2, SIDE, PER_KEY) * _COMBINE, axis=3, dtype=np.uint64)).astype(np.int64)
             at = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SIDE)
             sides = [pa.ListArray.from_arrays(at, pa.array(sub[:, s].ravel())) for s in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64()), *sides],
-                names=["id", "n", "cls", "left", "right"],
+                [ids.slice(i, j - i), digests.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64()), *sides],
+                names=["id", "digest", "n", "cls", "left", "right"],
             )
 
 
@@ -135,13 +135,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null then).  Other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = scratch.save(docs.mapInArrow(_signatures, "id long, n long, cls long, left array<long>, right array<long>"))
+    # ids may be null or there twice: a class's text is found by id and digest
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    signed = scratch.save(docs.mapInArrow(_signatures, "id long, digest long, n long, cls long, left array<long>, right array<long>"))
     members = scratch.save(_buckets(signed))
-    candidates = scratch.save(members.select("cls").distinct().join(signed.select("cls", "id"), "cls").groupBy("cls").agg(F.min("id").alias("id")))
-    text = docs.join(bounded(candidates, candidates.count()), docs["id"].eqNullSafe(candidates["id"])).select("cls", F.col("text").cast("binary").alias("body"))
+    places = signed.select("cls", F.struct("id", "digest").alias("place"))
+    candidates = members.select("cls").distinct().join(places, "cls").groupBy("cls").agg(F.min("place").alias("place"))
+    candidates = scratch.save(candidates.select("cls", F.col("place.id").alias("id"), F.col("place.digest").alias("digest")))
+    same = docs["id"].eqNullSafe(candidates["id"]) & (docs["digest"] == candidates["digest"])
+    text = docs.join(bounded(candidates, candidates.count()), same).select("cls", F.col("text").cast("binary").alias("body"))
     sets = one_each(text.mapInArrow(_marked, "cls long, n long, body binary, marks binary"), scratch)
     link = link_members(members, sets, tc.shingle_sets, scratch, num, den)
+    scratch.drop(candidates, sets)
 
     # documents: the smallest id of each component
     grouped = labelled(signed.filter("n > 0").select("id", "n", "cls"), link, "cls", "comp")

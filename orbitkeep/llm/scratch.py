@@ -44,7 +44,7 @@ class Scratch:
         return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     @contextmanager
-    def _leaving_no_shuffle_files(self):
+    def leaving_no_shuffle_files(self):
         """Actions within need their shuffle files no longer when they end; the setting is restored when the last of concurrent users is done."""
         conf, key = self.spark.conf, id(self.spark)
         with _lock:
@@ -62,14 +62,14 @@ class Scratch:
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{uuid.uuid4().hex}"
-        with self._leaving_no_shuffle_files():
+        with self.leaving_no_shuffle_files():
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out
 
     def count(self, df: DataFrame) -> int:
-        with self._leaving_no_shuffle_files():
+        with self.leaving_no_shuffle_files():
             return df.count()
 
     def drop(self, *tables: DataFrame | None) -> None:

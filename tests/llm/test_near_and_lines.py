@@ -81,6 +81,11 @@ def test_documents_odd_rows(spark):
     got = sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(None, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True), (8, 0, 8, True), (8, 2, 8, True)], key=str)
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+    # many rows without an id, alike and apart
+    texts = [" ".join(f"w{i + j}" for j in range(12)) if i % 3 else "a b c d e f g" for i in range(0, 600, 20)]
+    many = spark.createDataFrame([(None, t) for t in texts] + [(9, texts[1])], SCHEMA)
+    found = [r.component_id for r in minhash.near_duplicates(many).collect()]
+    assert found.count(9) == 1 + texts.count(texts[1]) and found.count(None) == len(texts) - texts.count(texts[1])
     left = minhash.one_of_each(docs.filter("doc_id = 7"))
     assert left.columns == docs.columns and left.count() == 1
 
