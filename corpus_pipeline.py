@@ -2,6 +2,13 @@
 
 Every stage works on all rows that the one before kept, and is written as
 Parquet and read again; all but the last return the columns of ``documents``.
+
+For every stage: a null text counts as an empty one, and neither is dropped for
+being empty unless the classifier rejects it; repeated rows are treated alike
+(near_dedup keeps one row of an id); rows without an id are documents like
+others, told apart by their texts (near_dedup keeps them all, as they have no id
+that could stand for them); an empty table gives an empty one; more columns are
+passed on as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +54,7 @@ STAGES = [
     ("bpe_tokens", bpe_tokens),
 ]
 
-#: Fitted rules, signatures and merges are beyond SQL; no test holds the stages as run here against brute force yet.
+#: Fitted rules, signatures and merges are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
