@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,14 +45,12 @@ def shard(hex_id: Column, shards: int) -> Column:
     return F.pmod(F.shiftrightunsigned(mixed, 1) % shards * 2 + mixed.bitwiseAND(1), F.lit(shards))
 
 
-def keyed_digest(secret: bytes):
-    """HMAC-SHA512 of a binary column, as hex; Spark has no such function, so Arrow batches go through Python."""
-
-    @F.pandas_udf("string")
-    def run(data: pd.Series) -> pd.Series:
-        return data.map(lambda x: None if x is None else hmac.new(secret, bytes(x), hashlib.sha512).hexdigest())
-
-    return run
+def keyed_digest(data: Column, secret: bytes, bits: int = 512) -> Column:
+    """HMAC of a binary column with SHA-2, as hex: a digest of the padded secret and the digest of the other padded secret and the data."""
+    block = 128 if bits > 256 else 64
+    key = (secret if len(secret) <= block else hashlib.new(f"sha{bits}", secret).digest()).ljust(block, b"\0")
+    padded = lambda mask: F.lit(bytes(x ^ mask for x in key))
+    return F.sha2(F.concat(padded(0x5C), F.unhex(F.sha2(F.concat(padded(0x36), data.cast("binary")), bits))), bits)
 
 
 def ring_percent(width: Column, digits: int = 15) -> Column:

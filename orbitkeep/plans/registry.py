@@ -65,6 +65,14 @@ def hex_id_pad(s, d):
     return fx.keys(s, d).select("k", K.parse_id(text, 64).alias("id"), K.parse_bound(text, 64).alias("bound"))
 
 
+_PAD = {mask: "".join(f"\\x{x ^ mask:02X}" for x in b"secret".ljust(64, b"\0")) for mask in (0x36, 0x5C)}
+
+
+@query(f"SELECT k, sha256('{_PAD[0x5C]}'::BLOB || unhex(sha256('{_PAD[0x36]}'::BLOB || encode(CAST(k AS VARCHAR))))) AS digest FROM keys")
+def keyed_digest(s, d):
+    return fx.keys(s, d).select("k", K.keyed_digest(F.col("k").cast("string"), b"secret", 256).alias("digest"))
+
+
 def _bytes_backwards(start: int) -> str:
     return "CAST('0x' || " + " || ".join(f"substr(id, {start + i}, 2)" for i in range(14, -1, -2)) + " AS UBIGINT)"
 

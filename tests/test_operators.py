@@ -154,11 +154,13 @@ def test_overlaid_writes(spark):
 
 
 def test_keyed_digest(spark):
-    import hashlib
     import hmac
 
-    rows = spark.createDataFrame([(b"abc",), (None,)], "data binary").select(keys.keyed_digest(b"k")("data").alias("d")).collect()
-    assert [r.d for r in rows] == [hmac.new(b"k", b"abc", hashlib.sha512).hexdigest(), None]
+    rows = spark.createDataFrame([(b"abc",), (b"",), (None,)], "data binary")
+    for secret in (b"k", b"", b"long" * 60):
+        for bits in (256, 512):
+            got = [r.d for r in rows.select(keys.keyed_digest(F.col("data"), secret, bits).alias("d")).collect()]
+            assert got == [*(hmac.new(secret, x, f"sha{bits}").hexdigest() for x in (b"abc", b"")), None]
 
 
 def test_checkers(spark):
