@@ -209,16 +209,25 @@ def edited(a: str, b: str) -> str:
     return a[: len(a) - half] + b[:half]
 
 
-def _range_of(x, cuts: list[int]):
-    """How many of the sorted cuts are under x, by a coarse list and then one of its parts; nulls are in the last range."""
+def _cuts_up_to(x, cuts: list[int], equal: bool):
+    """How many of the sorted cuts are under x (or equal to it), by a coarse list and then one of its parts."""
     if not cuts:
         return F.lit(0)
     step = int(len(cuts) ** 0.5) + 1
-    under = lambda values: F.size(F.filter(values, lambda e: e < x))
+    counted = lambda values: F.size(F.filter(values, lambda e: (e <= x) if equal else (e < x)))
     longs = lambda own: F.array(*[F.lit(c).cast("long") for c in own])
-    coarse = under(longs(cuts[::step]))
+    coarse = counted(longs(cuts[::step]))
     parts = F.array(*[longs(cuts[i : i + step]) for i in range(0, len(cuts), step)])
-    return F.when(x.isNull(), F.lit(len(cuts))).when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + under(F.get(parts, coarse - 1))).cast("int")
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + counted(F.get(parts, coarse - 1)))
+
+
+def _range_of(x, digest, cuts: list[int], null_ranges: int):
+    """The range of an id, in order of (id, digest), nulls last; an id that is several cuts, and the null id, have several ranges."""
+    before = _cuts_up_to(x, cuts, False)
+    place = digest / F.lit(float(1 << 64)) + 0.5
+    of = lambda n: F.least(F.floor(place * n).cast("int"), n - 1)
+    own = _cuts_up_to(x, cuts, True) - before
+    return F.when(x.isNull(), len(cuts) + 1 + of(F.lit(null_ranges))).otherwise(before + F.when(own > 1, of(own)).otherwise(F.lit(0))).cast("int")
 
 
 def _compare(batches):
@@ -260,22 +269,23 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Ids are cut into ranges of about equal size; a range is sorted in one task,
     and its successor's first rows are lent to it, so texts are shuffled once.
     Null texts are empty; rows of a null id come last, rows of one id are in
-    the order of their texts (a null before others); a single row is its own next one.
-    An empty table gives no rows; other columns are ignored.
+    the order of a digest of their texts, and are dealt over several ranges if they are many; a
+    single row is its own next one.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     n_ranges = RANGES * n_parts
     cuts = base.filter("doc_id IS NOT NULL").approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.2 / n_ranges)
-    ranged = base.withColumn("bucket", _range_of(F.col("doc_id"), sorted({int(c) for c in cuts})))
-    # at the driver: the first id of each range
-    firsts = sorted(ranged.groupBy("bucket").agg(F.min("doc_id").alias("first")).collect(), key=lambda r: r["bucket"])
-    lends = spark.createDataFrame([(r["first"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)], "first long, before int")
-    rows = ranged.join(F.broadcast(lends), F.col("doc_id").eqNullSafe(F.col("first")), "left")
+    nulls = base.agg(F.coalesce(F.avg(F.col("doc_id").isNull().cast("int")), F.lit(0.0))).first()[0]
+    ranged = base.withColumn("bucket", _range_of(F.col("doc_id"), F.col("digest"), sorted(int(c) for c in cuts), 1 + int(nulls * n_ranges)))
+    # at the driver: the first id and digest of each range
+    firsts = sorted(ranged.groupBy("bucket").agg(F.min(F.struct("doc_id", "digest")).alias("first")).collect(), key=lambda r: r["bucket"])
+    lends = spark.createDataFrame([(*r["first"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)], "first long, first_digest long, before int")
+    rows = ranged.join(F.broadcast(lends), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("first_digest")), "left")
     places = F.array(F.struct("bucket", F.lit(True).alias("own")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("bucket"), F.lit(False).alias("own"))))
-    rows = rows.select("doc_id", "text", F.explode(F.array_compact(places)).alias("at")).select("at.bucket", "doc_id", "at.own", "text")
-    placed = rows.repartition(n_parts, "bucket").sortWithinPartitions("bucket", F.col("own").desc(), F.col("doc_id").asc_nulls_last(), "text")
+    rows = rows.select("doc_id", "digest", "text", F.explode(F.array_compact(places)).alias("at")).select("at.bucket", "doc_id", "at.own", "text", "digest")
+    placed = rows.repartition(n_parts, "bucket").sortWithinPartitions("bucket", F.col("own").desc(), F.col("doc_id").asc_nulls_last(), "digest", "text").drop("digest")
     return placed.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -245,6 +245,18 @@ def test_next_documents_odd_rows(spark):
     assert syncmers.fingerprints(some).count() == 4
 
 
+def test_next_documents_of_a_hot_id(spark):
+    """Rows of one id, and of the null id, are in order of a digest of their texts, wherever ranges are cut."""
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 40))) for _ in range(160)]
+    rows = [((None, 7, 7, k)[k % 4], t) for k, t in enumerate(texts)] + [(7, texts[1])] * 3
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    digest = {r.text: r.d for r in docs.selectExpr("text", "xxhash64(text) d").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, digest[r[1]]))
+    want = sorted(((k, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()) for (k, t), (_, u) in zip(order, order[1:] + order[:1], strict=True)), key=str)
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in syncmers.with_next(docs).collect()), key=str) == want
+
+
 def test_alignment_against_subsequences():
     rng = random.Random(8)
     for _ in range(200):
