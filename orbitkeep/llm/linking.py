@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
@@ -24,6 +24,8 @@ BROADCAST_ROWS = 500_000
 SLACK = 0.21
 #: Pairs or bodies whose sets a task holds at once.
 PAIRS = 256
+#: Bytes of packed shingles that a task gathers before it passes them on, and buckets of them a shuffle partition.
+ENTRY_BYTES, BUCKETS = 1 << 25, 8
 
 
 def bounded(df: DataFrame, n_rows: int) -> DataFrame:
@@ -42,13 +44,163 @@ def _estimate(least: float):
     return run
 
 
-def _met(num: int, den: int):
-    """Of rows sorted by shingle (h, cls, comp, n, at, in_main, marks), the pairs (a, b) of different components that can reach the threshold."""
+#: An open class's shingle; the same with how often it occurs, the smallest set with it, and whether its component has it most often.
+_HASH = np.dtype([("h", "<i8"), ("cls", "<i8"), ("comp", "<i8"), ("n", "<i4")])
+_SEEN = np.dtype([*_HASH.descr, ("df", "<i4"), ("least", "<i4"), ("main", "?")])
 
-    def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-        h, cls, comp, n, at, main, marks = rows
-        left, out, d = np.arange(len(h)), [], 0
-        while len(left):  # each row with the one d places on, while that has the same shingle
+
+def _marked(width: int) -> np.dtype:
+    return np.dtype([("cls", "<i8"), ("marks", "u1", (width,))])
+
+
+def _placed(width: int) -> np.dtype:
+    """A shingle of a class's prefix, with its place."""
+    return np.dtype([*_HASH.descr, ("at", "<i4"), ("main", "?"), ("marks", "u1", (width,))])
+
+
+class _Dealt:
+    """Entries gathered and dealt to buckets by a hash of one of their fields, as rows (bucket, kind, data)."""
+
+    SCHEMA = "bucket int, kind int, data binary"
+
+    def __init__(self, field: str, n_buckets: int, kind: int = 0):
+        self.field, self.n_buckets, self.kind = field, n_buckets, kind
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, entries: np.ndarray):
+        self.held.append(entries)
+        self.size += entries.nbytes
+        if self.size > ENTRY_BYTES:
+            yield from self.rest()
+
+    def rest(self):
+        entries = np.concatenate(self.held) if self.held else np.zeros(0)
+        self.held, self.size = [], 0
+        if len(entries):
+            bucket = (tc.mix(entries[self.field].view(np.uint64)) >> np.uint64(32)) * np.uint64(self.n_buckets) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")
+            entries, bucket = entries[order], bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            data = [entries[i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(entries)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array([self.kind] * len(first), pa.int32()), pa.array(data, pa.binary())], names=["bucket", "kind", "data"])
+
+
+def _by_bucket(batches):
+    """Of rows sorted by bucket, the data of each by kind."""
+    last, held = None, {}
+    for batch in batches:
+        for bucket, kind, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if bucket != last and held:
+                yield {k: b"".join(v) for k, v in held.items()}
+                held = {}
+            last = bucket
+            held.setdefault(kind, []).append(data)
+    if held:
+        yield {k: b"".join(v) for k, v in held.items()}
+
+
+def _spread(decode, n_buckets: int):
+    """The shingles of classes (cls, comp, n, body), dealt by shingle."""
+
+    def run(batches):
+        out = _Dealt("h", n_buckets)
+        for batch in batches:
+            for i in range(0, batch.num_rows, PAIRS):
+                x = batch.slice(i, PAIRS)
+                sets = _sets_of(x.column(3), decode)
+                sizes = [len(s) for s in sets]
+                entries = np.empty(sum(sizes), _HASH)
+                entries["h"] = np.concatenate(sets).view(np.int64)
+                for k, name in enumerate(("cls", "comp", "n")):
+                    entries[name] = np.repeat(x.column(k).to_numpy(zero_copy_only=False), sizes)
+                yield from out.add(entries)
+        yield from out.rest()
+
+    return run
+
+
+def _with_marks(n_buckets: int, width: int):
+    """Classes (cls, marks), dealt by class."""
+
+    def run(batches):
+        out = _Dealt("cls", n_buckets, 1)
+        for batch in batches:
+            if batch.num_rows:
+                entries = np.empty(batch.num_rows, _marked(width))
+                entries["cls"] = batch.column(0).to_numpy(zero_copy_only=False)
+                entries["marks"] = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, width)
+                yield from out.add(entries)
+        yield from out.rest()
+
+    return run
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _counted(n_buckets: int):
+    """Shingles that several components have, with their frequencies, dealt by class."""
+
+    def run(batches):
+        out = _Dealt("cls", n_buckets)
+        for data in _by_bucket(batches):
+            e = np.frombuffer(data[0], _HASH)
+            e = e[np.lexsort((e["comp"], e["h"]))]
+            new, own = _starts(e["h"]), np.flatnonzero(_starts(e["h"], e["comp"]))
+            of = np.cumsum(new) - 1  # the shingle of each entry
+            first, comp = np.flatnonzero(new), e["comp"][own]
+            comps = np.bincount(of[own])
+            largest = np.lexsort((comp, np.diff(np.append(own, len(e))), of[own]))[np.cumsum(comps) - 1]
+            keep = comps[of] > 1
+            seen = np.empty(int(keep.sum()), _SEEN)
+            for name in _HASH.names:
+                seen[name] = e[name][keep]
+            for name, values in (("df", np.bincount(of)), ("least", np.minimum.reduceat(e["n"], first)), ("main", comp[largest])):
+                seen[name] = values[of[keep]] if name != "main" else e["comp"][keep] == values[of[keep]]
+            yield from out.add(seen)
+        yield from out.rest()
+
+    return run
+
+
+def _prefixes(num: int, den: int, n_buckets: int, width: int):
+    """The prefix of each class, its shingles of one component only first, then from the rarest, dealt by shingle."""
+
+    def run(batches):
+        out = _Dealt("h", n_buckets)
+        for data in _by_bucket(batches):
+            if 0 not in data:
+                continue
+            e, marks = np.frombuffer(data[0], _SEEN), np.frombuffer(data[1], _marked(width))
+            e, marks = e[np.lexsort((e["h"], e["df"], e["cls"]))], marks[np.argsort(marks["cls"])]
+            first = np.flatnonzero(_starts(e["cls"]))
+            shared = np.diff(np.append(first, len(e)))
+            n, least = e["n"].astype(np.int64), e["least"].astype(np.int64)
+            at = n - np.repeat(shared, shared) + np.arange(len(e)) - np.repeat(first, shared)
+            keep = (den * at <= (den - num) * n) & ((n - at) * (den + num) >= num * (n + least))
+            placed = np.empty(int(keep.sum()), _placed(width))
+            for name in (*_HASH.names, "main"):
+                placed[name] = e[name][keep]
+            placed["at"] = at[keep]
+            placed["marks"] = marks["marks"][np.searchsorted(marks["cls"], placed["cls"])]
+            yield from out.add(placed)
+        yield from out.rest()
+
+    return run
+
+
+def _met(num: int, den: int, width: int):
+    """The pairs (a, b) of different components that share a shingle of their prefixes and can reach the threshold."""
+
+    def pairs(e: np.ndarray) -> np.ndarray:
+        h, cls, comp, n, at, main, marks = (e[k] for k in ("h", "cls", "comp", "n", "at", "main", "marks"))
+        left, out, d = np.arange(len(h)), [np.zeros((0, 2), np.int64)], 0
+        while len(left):  # each entry with the one d places on, while that has the same shingle
             d += 1
             left = left[left + d < len(h)]
             left = left[h[left] == h[left + d]]
@@ -61,22 +213,13 @@ def _met(num: int, den: int):
                 p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
                 near = _likeness(marks[p], marks[q]) >= num / den - SLACK
                 out.append(np.stack([np.minimum(cls[p], cls[q]), np.maximum(cls[p], cls[q])], axis=1)[near])
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        return np.unique(np.concatenate(out), axis=0)
 
     def run(batches):
-        held = None  # the last shingle's rows, which may go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]] + [np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, -1)]
-            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
-            if cut:
-                yield pairs([x[:cut] for x in rows])
-            held = [x[cut:] for x in rows]
-        if held is not None:
-            yield pairs(held)
+        for data in _by_bucket(batches):
+            e = np.frombuffer(data[0], _placed(width))
+            found = pairs(e[np.argsort(e["h"], kind="stable")])
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     return run
 
@@ -202,20 +345,17 @@ def _prefix_pairs(own: DataFrame, link: Linker) -> DataFrame:
     shared shingle, not all pairs.  Pairs within the largest component of a
     shingle are never looked at.
     """
-    num, den = link.num, link.den
-    of, within, whole = Window.partitionBy("h"), Window.partitionBy("h", "comp"), Window.partitionBy("cls")
-    rows = link.hash_rows(own).withColumn("k", F.count("*").over(within))
-    rows = rows.withColumns({"df": F.count("*").over(of), "main": F.max(F.struct("k", "comp")).over(of), "least": F.min("n").over(of)})
-    # shingles of one component only come first; of them the number is enough
-    rows = rows.filter("df > k").select("h", "cls", "comp", "n", F.col("df").cast("int").alias("df"), "least", (F.col("comp") == F.col("main.comp")).alias("in_main"))
-    place = F.col("n") - F.count("*").over(whole).cast("int") + F.row_number().over(whole.orderBy("df", "h")) - 1
-    first = rows.withColumn("at", place).filter(f"{den} * at <= {den} * n - {num} * n AND (n - at) * {den + num} >= {num} * (n + least)")
-    first = link.scratch.save(first.select("h", "cls", "comp", "n", "at", "in_main"))
-    # pairs of one shingle are met, estimated and thinned out in the task that holds it
-    marked = first.join(link.sets.select("cls", "marks"), "cls").repartition("h").sortWithinPartitions("h", "cls")
-    pairs = marked.select("h", "cls", "comp", "n", "at", "in_main", "marks").mapInArrow(_met(num, den), "a long, b long")
-    pairs = link.scratch.save(pairs.distinct())
-    link.scratch.drop(first)
+    spark, num, den = own.sparkSession, link.num, link.den
+    if (one := link.sets.select(F.length("marks").alias("width")).first()) is None:
+        return spark.createDataFrame([], "a long, b long")
+    n, width = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS, one["width"]
+    dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    rows = link.scratch.save(own.join(link.sets.select("cls", F.col("n").cast("int").alias("n"), "marks", "body"), "cls"))
+    marks = rows.select("cls", "marks").mapInArrow(_with_marks(n, width), _Dealt.SCHEMA)
+    seen = dealt(rows.select("cls", "comp", "n", "body").mapInArrow(_spread(link.decode, n), _Dealt.SCHEMA)).mapInArrow(_counted(n), _Dealt.SCHEMA)
+    first = dealt(seen.union(marks)).mapInArrow(_prefixes(num, den, n, width), _Dealt.SCHEMA)
+    pairs = link.scratch.save(dealt(first).mapInArrow(_met(num, den, width), "a long, b long").distinct())
+    link.scratch.drop(rows)
     return pairs
 
 
