@@ -41,6 +41,8 @@ BATCH, NOISE, WORD_NOISE, RATE = 2048, 24, 1, 0.05
 LEAST_WORDS, MOST_WORDS, WORDS_FOR_ONE = 1024, 1 << 16, 256
 #: Shares of the training documents, in 16ths, that the rounds go through.
 ROUNDS = (2, 4, 10)
+#: Scores that are worked on at once.
+CELLS = 1 << 18
 #: Tokens after which a model in training starts anew.
 UNIT = 1 << 22
 #: Tokens broadcast at most, 20 bytes each.
@@ -208,20 +210,33 @@ class Model:
 
     def log10(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of classes after their contexts."""
-        out = np.empty(len(after), np.float64)
-        for i in range(0, len(after), 1 << 15):
-            x, own = self.predicted(before[i : i + (1 << 15)]), after[i : i + (1 << 15)]
+        out = np.empty(len(after), np.float32)
+        endings, words = np.ascontiguousarray(self.ending.T), np.ascontiguousarray(self.word.T)
+        ones = {n: np.ones(n, np.float32) for n in {ENDINGS, *np.diff(self.first).tolist()}}
+
+        def chosen(x: np.ndarray, outputs: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+            """Log-probabilities of the outputs ``own``; blocks of scores stay in the cache."""
+            got, step = np.empty(len(own), np.float32), max(CELLS // len(bias), 1)
+            for i in range(0, len(own), step):
+                score = x[i : i + step] @ outputs
+                score += bias
+                part = score[np.arange(len(score)), own[i : i + step]]
+                np.exp(score, out=score)
+                got[i : i + step] = part - np.log(score @ ones[len(bias)])
+            return got
+
+        for i in range(0, len(after), 1 << 17):
+            x, own = self.predicted(before[i : i + (1 << 17)]), after[i : i + (1 << 17)]
             e = self.ending_of[own]
-            score = x @ self.ending.T + self.ending_bias
-            part = score[np.arange(len(own)), e] - np.log(np.exp(score).sum(axis=1))
             order = np.argsort(e.astype(np.uint16), kind="stable")
-            cuts = np.searchsorted(e[order], np.arange(ENDINGS + 1))
+            x, own, e = x[order], own[order], e[order]
+            part = chosen(x, endings, self.ending_bias, e)
+            cuts = np.searchsorted(e, np.arange(ENDINGS + 1))
             for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
-                rows = order[cuts[k] : cuts[k + 1]]
-                score = x[rows] @ self.word[self.first[k] : self.first[k + 1]].T + self.bias[self.first[k] : self.first[k + 1]]
-                part[rows] += score[np.arange(len(rows)), own[rows] - self.first[k]] - np.log(np.exp(score).sum(axis=1))
-            out[i : i + len(own)] = part
-        return out / np.log(10)
+                rows, of = slice(cuts[k], cuts[k + 1]), slice(self.first[k], self.first[k + 1])
+                part[rows] += chosen(x[rows], words[:, of], self.bias[of], own[rows] - self.first[k])
+            out[i + order] = part
+        return out.astype(np.float64) / np.log(10)
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
