@@ -40,7 +40,7 @@ REMEMBERED, GATHER = 1 << 18, 1 << 22
 #: Buckets of band keys a shuffle partition: a bucket is sorted in memory.
 BUCKETS = 8
 #: Bytes of a signature kept beside a line.
-MARKS = 64
+MARKS = 128
 #: Groups that share a band are compared in full up to this size, larger ones by centres and rare shingles.
 SMALL = 64
 

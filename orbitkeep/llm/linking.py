@@ -20,8 +20,8 @@ from .scratch import Scratch
 
 #: Rows broadcast at most (about 16 bytes each); beyond that, a shuffled join.
 BROADCAST_ROWS = 500_000
-#: How far under the threshold an estimate from marks may be: at 0.8 and 64 marks or more, a linked pair is further off with probability below 1e-5.
-SLACK = 0.21
+#: How far under the threshold an estimate from marks may be, in its standard deviations at 0.8: a linked pair is further off with probability 1.4e-5.
+DEVIATIONS = 4.2
 #: Pairs or bodies whose sets a task holds at once.
 PAIRS = 256
 #: Bytes of packed shingles that a task gathers before it passes them on, and buckets of them a shuffle partition.
@@ -33,11 +33,17 @@ def bounded(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
 
 
-def _estimate(least: float):
+def _least(num: int, den: int, width: int) -> float:
+    """The estimate from ``width`` marks down to which a pair may reach the threshold."""
+    return num / den - DEVIATIONS * 0.4 / width**0.5
+
+
+def _estimate(num: int, den: int):
     def run(batches):
         for x in batches:
             if x.num_rows:
                 p, q = (np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint8).reshape(x.num_rows, -1) for k in (2, 3))
+                least = _least(num, den, p.shape[1])
                 same = _likeness(p, q)
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(same)], names=["a", "b", "likeness"]).filter(pa.array(same >= least))
 
@@ -197,6 +203,8 @@ def _prefixes(num: int, den: int, n_buckets: int, width: int):
 def _met(num: int, den: int, width: int):
     """The pairs (a, b) of different components that share a shingle of their prefixes and can reach the threshold."""
 
+    least = _least(num, den, width)
+
     def pairs(e: np.ndarray) -> np.ndarray:
         h, cls, comp, n, at, main, marks = (e[k] for k in ("h", "cls", "comp", "n", "at", "main", "marks"))
         left, out, d = np.arange(len(h)), [np.zeros((0, 2), np.int64)], 0
@@ -211,15 +219,25 @@ def _met(num: int, den: int, width: int):
             i, j = i[keep], j[keep]
             for k in range(0, len(i), 1 << 14):
                 p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-                near = _likeness(marks[p], marks[q]) >= num / den - SLACK
+                near = _likeness(marks[p], marks[q]) >= least
                 out.append(np.stack([np.minimum(cls[p], cls[q]), np.maximum(cls[p], cls[q])], axis=1)[near])
         return np.unique(np.concatenate(out), axis=0)
 
+    def once(held: list) -> pa.RecordBatch:
+        found = np.unique(np.concatenate(held), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
     def run(batches):
+        held, size = [], 0
         for data in _by_bucket(batches):
             e = np.frombuffer(data[0], _placed(width))
-            found = pairs(e[np.argsort(e["h"], kind="stable")])
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            held.append(pairs(e[np.argsort(e["h"], kind="stable")]))
+            size += held[-1].nbytes
+            if size > ENTRY_BYTES:
+                yield once(held)
+                held, size = [], 0
+        if held:
+            yield once(held)
 
     return run
 
@@ -280,7 +298,7 @@ class Linker:
         """(a, b, likeness) of the pairs whose fragments leave the threshold possible."""
         marks = self.sets.select("cls", "marks")
         both = pairs.join(marks.toDF("a", "ma"), "a").join(marks.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
-        return self.scratch.save(both.mapInArrow(_estimate(self.num / self.den - SLACK), "a long, b long, likeness double"))
+        return self.scratch.save(both.mapInArrow(_estimate(self.num, self.den), "a long, b long, likeness double"))
 
     def confirm(self, pairs: DataFrame) -> None:
         """Link the pairs, of a saved table, that reach the threshold."""
@@ -350,12 +368,13 @@ def _prefix_pairs(own: DataFrame, link: Linker) -> DataFrame:
         return spark.createDataFrame([], "a long, b long")
     n, width = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS, one["width"]
     dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    rows = link.scratch.save(own.join(link.sets.select("cls", F.col("n").cast("int").alias("n"), "marks", "body"), "cls"))
+    own = link.scratch.save(own)
+    rows = link.scratch.save(link.sets.select("cls", F.col("n").cast("int").alias("n"), "marks", "body").join(bounded(own, own.count()), "cls"))
     marks = rows.select("cls", "marks").mapInArrow(_with_marks(n, width), _Dealt.SCHEMA)
     seen = dealt(rows.select("cls", "comp", "n", "body").mapInArrow(_spread(link.decode, n), _Dealt.SCHEMA)).mapInArrow(_counted(n), _Dealt.SCHEMA)
     first = dealt(seen.union(marks)).mapInArrow(_prefixes(num, den, n, width), _Dealt.SCHEMA)
     pairs = link.scratch.save(dealt(first).mapInArrow(_met(num, den, width), "a long, b long").distinct())
-    link.scratch.drop(rows)
+    link.scratch.drop(rows, own)
     return pairs
 
 
