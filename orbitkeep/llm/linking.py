@@ -25,7 +25,7 @@ DEVIATIONS = 4.2
 #: Pairs or bodies whose sets a task holds at once.
 PAIRS = 256
 #: Bytes of packed shingles that a task gathers before it passes them on, and buckets of them a shuffle partition.
-ENTRY_BYTES, BUCKETS = 1 << 25, 8
+ENTRY_BYTES, BUCKETS = 1 << 23, 8
 
 
 def bounded(df: DataFrame, n_rows: int) -> DataFrame:
