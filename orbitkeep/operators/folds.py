@@ -4,6 +4,11 @@ A fold whose step depends on the state so far cannot be split: the history of a
 key goes through one task, in order, as it does in a stream.  Spark shuffles and
 sorts the rows (spilling as it needs to); the task keeps the state of one key
 and no rows.
+
+The rows are dealt by a hash of their keys, not by the keys: a repartition by
+columns that the rows are dealt by already (after a join on them) is left out,
+and adaptive execution, which does not know what the fold relies on, may then
+turn that join into a broadcast one and read its shuffle by map task.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql.types import StructType
 
 def folded_rows(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], columns: tuple[str, ...], start, step: Callable, end: Callable, out: str) -> DataFrame:
     """(keys, end(state)) of each key, state being start changed by step(state, *columns) for each of its rows in order; ``out`` names and types what end returns."""
-    sorted_ = rows.select(*keys, *order, *columns).repartition(*keys).sortWithinPartitions(*keys, *order)
+    sorted_ = rows.select(*keys, *order, *columns).repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = StructType.fromDDL(", ".join(f"`{k}` {types[k]}" for k in keys) + f", {out}")
     arrow, n = to_arrow_schema(schema), len(keys)

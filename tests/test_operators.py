@@ -225,6 +225,21 @@ def test_top_keys_limit_and_idle(spark):
     assert "k0" not in {r.id for r in stats.top_keys(rows, 50, 300, now=1100).collect()}
 
 
+def test_fold_keeps_keys_whole_after_an_adaptive_join(spark):
+    """The join with the remembered keys is planned as a shuffled one and turns out to be small, as on large logs."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 400000, 1, 8).selectExpr("CAST(id % 1 + 1 AS INT) group_id", "CAST(id % 20 AS STRING) id", "id event_id", "id sec", "1L size", "'READ' cmd", "0 status")
+        got = stats.top_keys(rows, 50, 10**9, capacity=9).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(r.id for r in got) == [str(i) for i in range(11, 20)] and all(abs(r.frequency - 20000) < 10 for r in got)
+
+
 def test_histogram_bounds_are_inclusive(spark):
     rows = spark.createDataFrame([(0, 500, 100), (0, 501, 101), (0, 100001, 1001)], "sec long, time_us long, size long")
     assert {(r.x, r.y) for r in stats.histogram(rows).collect()} == {(0, 0), (1, 1), (3, 3)}
