@@ -38,8 +38,52 @@ def bulk_read(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...]) ->
     return first_group(records.join(wanted.select("id").distinct(), "id", "left_semi"), groups)
 
 
-def _asked(wanted: DataFrame, groups: tuple[int, ...]) -> DataFrame:
-    return wanted.select("id").distinct().select("id", F.posexplode(F.array(*[F.lit(g) for g in groups])).alias("prio", "group_id"))
+def _gathered(wanted: DataFrame, groups: tuple[int, ...], more: dict[str, DataFrame], numbers: tuple[str, ...] = ()) -> DataFrame:
+    """Of each wanted id one row: ``numbers`` of wanted (the largest), and by name the rows of each of ``more`` in the asked groups, as an array.
+
+    All rows of an id meet in one shuffle by the id alone.  An id has a few rows
+    in each group, so nothing is combined before the shuffle: that would sort
+    each map task's rows for arrays of three or five.
+    """
+    kept = {name: rows.filter(F.col("id").isNotNull() & F.col("group_id").isin(list(groups))) for name, rows in more.items()}
+    types = {name: F.struct(*[c for c in rows.columns if c != "id"]) for name, rows in kept.items()}
+    schemas = {name: rows.select(types[name].alias("x")).schema["x"].dataType for name, rows in kept.items()}
+    whole = wanted.select("id", F.lit(True).alias("_asked"), *numbers, *[F.lit(None).cast(t).alias(name) for name, t in schemas.items()])
+    numbers_of = {f.name: f.dataType for f in wanted.schema.fields if f.name in numbers}
+    for name, rows in kept.items():
+        others = [types[n].alias(n) if n == name else F.lit(None).cast(t).alias(n) for n, t in schemas.items()]
+        whole = whole.union(rows.select("id", F.lit(False), *[F.lit(None).cast(numbers_of[n]) for n in numbers], *others))
+    lists = [F.collect_list(name).alias(name) for name in schemas]
+    return whole.repartition("id").groupBy("id").agg(F.max("_asked").alias("_asked"), *[F.max(n).alias(n) for n in numbers], *lists).filter("_asked").drop("_asked")
+
+
+def _of_group(rows: str, group: Column) -> Column:
+    """The rows of a group in an array of them; without any, one null, as a left join has it."""
+    own = F.filter(rows, lambda x: x["group_id"] == group)
+    return F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(None)))
+
+
+def _tried(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...], failures: DataFrame | None, columns: tuple[str, ...], numbers: tuple[str, ...] = ()) -> DataFrame:
+    """(id, numbers, tried): what ``attempts`` returns, as an array of (prio, group_id, status, columns) for each id."""
+    more = {"_held": visible(records).select("id", "group_id", *columns)}
+    if failures is not None:
+        more["_failed"] = failures.select("id", "group_id", "status")
+    rows = _gathered(wanted, groups, more, numbers)
+
+    def tries(prio: int, group: int) -> Column:
+        def told(held: Column, failed: Column | None) -> Column:
+            status = F.when(held.isNull(), F.lit(-ENOENT)).otherwise(F.lit(0))
+            status = status if failed is None else F.coalesce(failed["status"], status)
+            return F.struct(F.lit(prio).alias("prio"), F.lit(group).alias("group_id"), status.alias("status"), *[held[c].alias(c) for c in columns])
+
+        held = _of_group("_held", F.lit(group))
+        if failures is None:
+            return F.transform(held, lambda h: told(h, None))
+        return F.flatten(F.transform(held, lambda h: F.transform(_of_group("_failed", F.lit(group)), lambda f: told(h, f))))
+
+    rows = rows.select("id", *numbers, F.concat(*[tries(i, g) for i, g in enumerate(groups)]).alias("_all"))
+    rows = rows.withColumn("_first", F.array_min(F.transform(F.filter("_all", lambda x: x["status"] == 0), lambda x: x["prio"])))
+    return rows.select("id", *numbers, F.filter("_all", lambda x: F.col("_first").isNull() | (x["prio"] <= F.col("_first"))).alias("tried"))
 
 
 def attempts(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...], failures: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -47,13 +91,7 @@ def attempts(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...], fai
 
     ``failures`` (id, group_id, status) are groups that answer with an error though they hold the id.
     """
-    held = visible(records).select("id", "group_id", F.lit(0).alias("found"), *columns)
-    rows, status = _asked(wanted, groups).join(held, ["id", "group_id"], "left"), F.coalesce("found", F.lit(-ENOENT))
-    if failures is not None:
-        rows, status = rows.join(failures.select("id", "group_id", F.col("status").alias("failed")), ["id", "group_id"], "left"), F.coalesce("failed", status)
-    rows = rows.withColumn("status", status)
-    first = F.min(F.when(F.col("status") == 0, F.col("prio"))).over(Window.partitionBy("id"))
-    return rows.withColumn("first", first).filter("first IS NULL OR prio <= first").select("id", "prio", "group_id", "status", *columns)
+    return _tried(records, wanted, groups, failures, columns).select("id", F.explode("tried").alias("t")).select("id", "t.*")
 
 
 def lookup(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...], failures: DataFrame | None = None) -> DataFrame:
@@ -69,13 +107,12 @@ def repairs(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...], fail
     groups that lack the object, hold a bad version or a corrupt one are
     repaired, not those that were out of reach.
     """
-    tried = attempts(records, wanted, groups, failures, ("size",))
-    good = tried.filter("status = 0").select("id", F.col("group_id").alias("from_group"), F.col("size").alias("total"))
-    if {"offset", "size"} <= set(wanted.columns):
-        part = wanted.groupBy("id").agg(F.max("offset").alias("offset"), F.max("size").alias("part"))
-        good = good.join(part, "id").filter("offset = 0 AND (part = 0 OR part >= total)")
-    failed = tried.filter(F.col("status").isin(-ENOENT, -EBADFD, -EILSEQ))
-    return failed.join(good, "id").select("id", "from_group", F.col("group_id").alias("to_group"))
+    numbers = ("offset", "size") if {"offset", "size"} <= set(wanted.columns) else ()
+    tried = _tried(records, wanted, groups, failures, ("size",), numbers).filter("id IS NOT NULL")
+    good = tried.select("id", *numbers, F.filter("tried", lambda x: x["status"].isin(-ENOENT, -EBADFD, -EILSEQ)).alias("_bad"), F.explode(F.filter("tried", lambda x: x["status"] == 0)).alias("_good"))
+    if numbers:
+        good = good.filter("offset = 0 AND (size = 0 OR size >= _good.size)")
+    return good.select("id", F.col("_good.group_id").alias("from_group"), F.explode("_bad").alias("_to")).select("id", "from_group", F.col("_to.group_id").alias("to_group"))
 
 
 def slice_of(data: Column, offset: Column, size: Column) -> Column:
@@ -106,14 +143,17 @@ def quorum(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...]) -> Da
 
     Groups without a visible replica count for the half and are rows with an error.
     """
-    held = visible(records).select("id", "group_id", "ts_sec", "size")
-    rows = _asked(wanted, groups).join(held, ["id", "group_id"], "left")
-    each = Window.partitionBy("id")
-    agreed = F.col("ts_sec").isNotNull() & (F.col("same") >= len(groups) // 2 + 1)
-    rows = rows.withColumns({"same": F.count("ts_sec").over(Window.partitionBy("id", "ts_sec")), "newest": F.max("ts_sec").over(each)})
-    rows = rows.withColumn("chosen", F.coalesce(F.max(F.when(agreed, F.col("ts_sec"))).over(each), F.col("newest")))
-    status = F.when(F.col("ts_sec").isNull(), F.lit(-ENOENT)).otherwise(F.lit(0))
-    return rows.filter("ts_sec IS NULL OR ts_sec = chosen").select("id", "group_id", status.alias("status"), "ts_sec", "size")
+    rows = _gathered(wanted, groups, {"_held": visible(records).select("id", "group_id", "ts_sec", "size")})
+
+    def told(group: int) -> Column:
+        return F.transform(_of_group("_held", F.lit(group)), lambda h: F.struct(F.lit(group).alias("group_id"), h["ts_sec"].alias("ts_sec"), h["size"].alias("size")))
+
+    rows = rows.select("id", F.concat(*[told(g) for g in groups]).alias("_all")).withColumn("_times", F.filter(F.transform("_all", lambda x: x["ts_sec"]), lambda t: t.isNotNull()))
+    agreed = F.filter("_times", lambda t: F.size(F.filter("_times", lambda u: u == t)) >= len(groups) // 2 + 1)
+    rows = rows.withColumn("_chosen", F.coalesce(F.array_max(agreed), F.array_max("_times")))
+    rows = rows.select("id", F.explode(F.filter("_all", lambda x: x["ts_sec"].isNull() | (x["ts_sec"] == F.col("_chosen")))).alias("x"))
+    status = F.when(F.col("x.ts_sec").isNull(), F.lit(-ENOENT)).otherwise(F.lit(0))
+    return rows.select("id", "x.group_id", status.alias("status"), "x.ts_sec", "x.size")
 
 
 def misplaced(holders: DataFrame) -> DataFrame:

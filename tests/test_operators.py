@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orbitkeep.functions import keys
 from orbitkeep.model import EINVAL, ENOTSUP, ENXIO, ERANGE, StoreError
 from orbitkeep.operators import reads, recovery, replies, routes, scan, stats, transfer, writes
+from orbitkeep.plans import registry
 from orbitkeep.session import Session
 
 RECORD = "id string, group_id int, ts_sec long, size long, user_flags long, record_flags long"
@@ -21,6 +22,34 @@ def test_latest_and_quorum(spark):
     assert found == {("a", 1, 0), ("a", 2, 0), ("b", 2, 0), ("b", 3, -2), *(("none", g, -2) for g in (1, 2, 3))}
 
 
+def _exchanges(df) -> int:
+    """Shuffles in the plan of a query whose joins are planned as on large tables."""
+    conf, key = df.sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold"
+    old = conf.get(key)
+    conf.set(key, "-1")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        conf.set(key, old)
+
+
+def test_reads_meet_in_one_shuffle(spark, sf_dir):
+    for name in ("read_attempts", "lookup_first", "read_repair_actions", "quorum_lookup"):
+        assert _exchanges(registry.QUERIES[name](spark, sf_dir)) == 1, name
+
+
+def test_reads_of_odd_rows(spark):
+    """Several replicas in a group are told apart, ids that are null have none, groups that nobody asks do not count."""
+    rows = spark.createDataFrame([("a", 1, 10, 5, 0, 0), ("a", 1, 11, 6, 0, 0), ("a", 9, 10, 5, 0, 0), (None, 1, 10, 5, 0, 0), ("b", 2, 10, 5, 0, 0)], RECORD)
+    ids = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "id string")
+    bad = spark.createDataFrame([("a", 2, -84), ("b", 1, -84), (None, 1, -110)], "id string, group_id int, status int")
+    told = sorted((str(r.id), r.prio, r.group_id, r.status, r.ts_sec or 0) for r in reads.lookup(rows, ids, (2, 1), bad).collect())
+    assert told == [("None", 0, 2, -2, 0), ("None", 1, 1, -2, 0), ("a", 0, 2, -84, 0), ("a", 1, 1, 0, 10), ("a", 1, 1, 0, 11), ("b", 0, 2, 0, 10)]
+    assert sorted(map(tuple, reads.repairs(rows, ids, (2, 1), bad).collect())) == [("a", 1, 2), ("a", 1, 2)]
+    found = sorted((str(r.id), r.group_id, r.status, r.ts_sec or 0) for r in reads.quorum(rows, ids, (1, 2)).collect())
+    assert found == [("None", 1, -2, 0), ("None", 2, -2, 0), ("a", 1, 0, 11), ("a", 2, -2, 0), ("b", 1, -2, 0), ("b", 2, 0, 10)]
+
+
 def test_quorum_is_of_the_groups_asked(spark):
     rows = spark.createDataFrame([("a", 1, 10, 5, 0, 0), ("a", 2, 10, 5, 0, 0), ("a", 3, 15, 5, 0, 0)], RECORD)
     chosen = lambda groups: {r.group_id for r in reads.quorum(rows, rows, groups).filter("status = 0").collect()}
