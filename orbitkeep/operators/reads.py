@@ -57,7 +57,7 @@ def _gathered(wanted: DataFrame, groups: tuple[int, ...], more: dict[str, DataFr
     return whole.repartition("id").groupBy("id").agg(F.max("_asked").alias("_asked"), *[F.max(n).alias(n) for n in numbers], *lists).filter("_asked").drop("_asked")
 
 
-def _of_group(rows: str, group: Column) -> Column:
+def of_group(rows: str, group: Column) -> Column:
     """The rows of a group in an array of them; without any, one null, as a left join has it."""
     own = F.filter(rows, lambda x: x["group_id"] == group)
     return F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(None)))
@@ -76,10 +76,10 @@ def _tried(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...], failu
             status = status if failed is None else F.coalesce(failed["status"], status)
             return F.struct(F.lit(prio).alias("prio"), F.lit(group).alias("group_id"), status.alias("status"), *[held[c].alias(c) for c in columns])
 
-        held = _of_group("_held", F.lit(group))
+        held = of_group("_held", F.lit(group))
         if failures is None:
             return F.transform(held, lambda h: told(h, None))
-        return F.flatten(F.transform(held, lambda h: F.transform(_of_group("_failed", F.lit(group)), lambda f: told(h, f))))
+        return F.flatten(F.transform(held, lambda h: F.transform(of_group("_failed", F.lit(group)), lambda f: told(h, f))))
 
     rows = rows.select("id", *numbers, F.concat(*[tries(i, g) for i, g in enumerate(groups)]).alias("_all"))
     rows = rows.withColumn("_first", F.array_min(F.transform(F.filter("_all", lambda x: x["status"] == 0), lambda x: x["prio"])))
@@ -146,7 +146,7 @@ def quorum(records: DataFrame, wanted: DataFrame, groups: tuple[int, ...]) -> Da
     rows = _gathered(wanted, groups, {"_held": visible(records).select("id", "group_id", "ts_sec", "size")})
 
     def told(group: int) -> Column:
-        return F.transform(_of_group("_held", F.lit(group)), lambda h: F.struct(F.lit(group).alias("group_id"), h["ts_sec"].alias("ts_sec"), h["size"].alias("size")))
+        return F.transform(of_group("_held", F.lit(group)), lambda h: F.struct(F.lit(group).alias("group_id"), h["ts_sec"].alias("ts_sec"), h["size"].alias("size")))
 
     rows = rows.select("id", F.concat(*[told(g) for g in groups]).alias("_all")).withColumn("_times", F.filter(F.transform("_all", lambda x: x["ts_sec"]), lambda t: t.isNotNull()))
     agreed = F.filter("_times", lambda t: F.size(F.filter("_times", lambda u: u == t)) >= len(groups) // 2 + 1)

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import EBADFD, EINVAL, EROFS, StoreError
-from .reads import latest
+from ..model import EBADFD, EINVAL, EROFS, StoreError, uncommitted
+from .reads import of_group
 
 
 def last_writer(stored: DataFrame, writes: DataFrame, keys: tuple[str, ...] = ("id", "group_id")) -> DataFrame:
@@ -108,16 +108,22 @@ def cas_convert(replicas: DataFrame, converter, groups: tuple[int, ...], attempt
     changes nothing writes nothing (status 0, data as they were).  Groups
     without the id take the write.
     """
-    base = latest(replicas, ("ts_sec", "group_id", "data")).select("id", F.col("data").alias("_old"))
-    new = base.withColumn("_new", converter(F.col("_old")))
-    asked = new.withColumn("group_id", F.explode(F.array(*[F.lit(g) for g in groups])))
-    rows = asked.join(replicas.select("id", "group_id", "meanwhile"), ["id", "group_id"], "left")
+    # one shuffle by the id, of the latest value alone and of all groups' counts; both meet before the value is there for each group
+    seen = F.when(~uncommitted(), F.struct(F.col("ts_sec"), -F.col("group_id")))
+    counts = F.collect_list(F.when(F.col("id").isNotNull() & F.col("group_id").isin(list(groups)), F.struct("group_id", "meanwhile")))
+    base = replicas.groupBy("id").agg(F.max_by("data", seen).alias("_old"), F.count(seen).alias("_seen"), counts.alias("_counts")).filter("_seen > 0")
+    asked = base.select("id", "_old", converter(F.col("_old")).alias("_new"), F.explode(F.concat(*[_told(g) for g in groups])).alias("x"))
+    rows = asked.select("id", "_old", "_new", "x.*")
     lost = F.coalesce("meanwhile", F.lit(0)) >= attempts
     same = F.col("_new").eqNullSafe(F.col("_old"))
     status = F.when(~same & lost, F.lit(-EBADFD)).otherwise(F.lit(0))
     return rows.select("id", "group_id", status.alias("status"), F.when(status == 0, F.col("_new")).otherwise(F.col("_old")).alias("data"))
 
 
+def _told(group: int) -> Column:
+    return F.transform(of_group("_counts", F.lit(group)), lambda x: F.struct(F.lit(group).alias("group_id"), x["meanwhile"].alias("meanwhile")))
+
+
 def overlaid(parts: Column) -> Column:
     """(offset, data) writes of a string value laid over each other in order; gaps are spaces."""
 
