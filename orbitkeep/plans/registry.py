@@ -708,8 +708,8 @@ def server_send_status(s, d):
 
 @query(_SENT + "SELECT t.id, CAST(t.group_id AS BIGINT) AS group_id, t.ts_sec, t.size FROM replicas t LEFT JOIN sent n ON n.id = t.id AND n.group_id = t.group_id AND n.status = 0 WHERE t.group_id IN (2, 3) AND n.id IS NULL UNION ALL SELECT id, group_id, ts_sec, size FROM sent WHERE status = 0")
 def server_send_copy(s, d):
-    source, target, done = _sent(s, d)
-    return transfer.copied(target, source, done).select("id", "group_id", "ts_sec", "size")
+    source, target, _ = _sent(s, d)
+    return transfer.copied(target, source, (2, 3)).select("id", "group_id", "ts_sec", "size")
 
 
 @query("SELECT id, CAST(group_id AS BIGINT) AS group_id, CAST(CASE WHEN open THEN -6 WHEN k % 8 = 0 THEN -84 WHEN have > ts_sec THEN -77 ELSE 0 END AS BIGINT) AS status FROM (SELECT s.id, s.k, s.ts_sec, s.record_flags = 128 AS open, g.group_id, t.ts_sec AS have FROM replicas s, (SELECT unnest([2, 3]) AS group_id) g LEFT JOIN replicas t ON t.id = s.id AND t.group_id = g.group_id WHERE s.group_id = 1)")

@@ -1,7 +1,9 @@
 """Worked cases of single operators."""
 
 import itertools
+import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,19 @@ def test_latest_and_quorum(spark):
     assert found == {("a", 1, 0), ("a", 2, 0), ("b", 2, 0), ("b", 3, -2), *(("none", g, -2) for g in (1, 2, 3))}
 
 
+@pytest.fixture
+def duck_of():
+    def made(folder):
+        con = duckdb.connect()
+        for table in folder.glob("*.parquet"):
+            con.sql(f"create view {table.stem} as select * from '{table}/*.parquet'")
+        for sql in ("events AS SELECT 1 event_id, 1 user_id, TIMESTAMP '2020-01-01' ts, 'view' event_type, 1.0 AS value", "documents AS SELECT 1 doc_id, '' AS text"):
+            con.sql(f"create view {sql}")
+        return con
+
+    return made
+
+
 def _exchanges(df) -> int:
     """Shuffles in the plan of a query whose joins are planned as on large tables."""
     conf, key = df.sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold"
@@ -38,6 +53,51 @@ def test_reads_meet_in_one_shuffle(spark, sf_dir):
         assert _exchanges(registry.QUERIES[name](spark, sf_dir)) == 1, name
 
 
+def test_writes_and_sends_meet_in_one_shuffle(spark, sf_dir):
+    for name in ("write_cas_groups", "server_send_status", "server_send_checksum", "server_send_copy"):
+        assert _exchanges(registry.QUERIES[name](spark, sf_dir)) == 1, name
+
+
+def test_replies_meet_before_they_are_many(spark, sf_dir):
+    """Keys and what replicas are made of meet by k; then one shuffle by id, and aggregates that need no sorting."""
+    for name in ("check_all", "check_quorum", "first_valid", "prepare_latest_rank", "remove_on_fail"):
+        rows = registry.QUERIES[name](spark, sf_dir)
+        assert _exchanges(rows) == 3, name
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "hashpartitioning(k" in plan and "hashpartitioning(k#0L, group_id" not in plan
+    assert not re.search(r"hashpartitioning\(id#\d+, group_id", registry.QUERIES["merge_actions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_fixtures_with_a_key_twice_and_a_null_key(spark, duck_of, tmp_path):
+    """Orders that share a key, or have none, give the rows that the SQL gives."""
+    spark.sql("SELECT k o_orderkey, TIMESTAMP_NTZ'2020-01-01 00:00:00' + make_dt_interval(CAST(i AS INT)) o_orderdate, IF(i % 2 = 0, '1-URGENT', '2-HIGH') o_orderpriority FROM (SELECT id i, IF(id % 10 = 0, NULL, id div 2) k FROM range(60))").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duck_of(tmp_path)
+    for name in ("filter_all_with_ack", "merge_actions", "merge_newest", "check_all", "remove_on_fail", "first_valid"):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        columns = sorted(got.columns)
+        want = con.sql(registry.ORACLE_SQL[name]).select(*[f'"{c}"' for c in columns]).fetchall()
+        if name == "first_valid":  # which of two equal first replies is told is open
+            got, want = got.select("id", "group_id"), [(r[columns.index("id")], r[columns.index("group_id")]) for r in want]
+            columns = ["id", "group_id"]
+        assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want)), name
+
+
+def test_errors_that_arrive_at_once(spark):
+    rows = spark.createDataFrame([("a", g, s, True, 0, 0, True, t) for g, s, t in ((1, -84, -5), (2, -110, -5), (3, -2, 7))] + [("b", 1, 5, True, 0, 0, True, 2**62), ("b", 2, -6, True, 0, 0, False, -(2**62))], "id string, group_id int, status int, is_final boolean, data_size long, ts_sec long, is_reply boolean, arrival long")
+    for r in (rows, rows.withColumn("arrival", F.timestamp_seconds(F.col("arrival") % 1000))):
+        assert {x.id: x.error for x in replies.outcome(r, "all").collect()} == {"a": -110, "b": 5}
+
+
+def test_sends_of_odd_rows(spark):
+    """Keys without an id meet nothing; of several records with one id each is sent, and each target record counts."""
+    source = spark.createDataFrame([("a", 1, 10, 5, 0, 0), ("a", 1, 12, 5, 0, 0), ("b", 1, 10, 5, 0, 128), (None, 1, 10, 5, 0, 0)], RECORD)
+    target = spark.createDataFrame([("a", 2, 11, 7, 0, 0), ("b", 2, 1, 7, 0, 0), (None, 2, 99, 7, 0, 0), ("c", 2, 1, 7, 0, 0), ("a", 9, 1, 7, 0, 0)], RECORD)
+    done = sorted((str(r.id), r.group_id, r.status) for r in transfer.outcomes(source, target, (2, 3)).collect())
+    assert done == [("None", 2, 0), ("None", 3, 0), ("a", 2, -77), ("a", 2, 0), ("a", 3, 0), ("a", 3, 0), ("b", 2, -6), ("b", 3, -6)]
+    after = sorted((str(r.id), r.group_id, r.ts_sec) for r in transfer.copied(target, source, (2, 3)).collect())
+    assert after == [("None", 2, 99), *[("a", 2, t) for t in (10, 12)], *[("a", 3, t) for t in (10, 10, 12, 12)], ("a", 9, 1), ("b", 2, 1), ("c", 2, 1)]
+
+
 def test_reads_of_odd_rows(spark):
     """Several replicas in a group are told apart, ids that are null have none, groups that nobody asks do not count."""
     rows = spark.createDataFrame([("a", 1, 10, 5, 0, 0), ("a", 1, 11, 6, 0, 0), ("a", 9, 10, 5, 0, 0), (None, 1, 10, 5, 0, 0), ("b", 2, 10, 5, 0, 0)], RECORD)
