@@ -293,8 +293,11 @@ def checksum_verify(s, d):
 
 def holders(s, d):
     """Keys with owner and holder by group; every ninth is held by its neighbour."""
-    own = routes.lookup(fx.keys(s, d), fx.routes(s)).withColumnRenamed("n", "owner_n")
-    return own.withColumn("holder_n", F.when((F.col("k") * 5 + F.col("group_id")) % 9 == 0, (F.col("owner_n") + 1) % 8).otherwise(F.col("owner_n")))
+    return _holder(routes.lookup(fx.keys(s, d), fx.routes(s)))
+
+
+def _holder(owned: DataFrame) -> DataFrame:
+    return owned.withColumnRenamed("n", "owner_n").withColumn("holder_n", F.when((F.col("k") * 5 + F.col("group_id")) % 9 == 0, (F.col("owner_n") + 1) % 8).otherwise(F.col("owner_n")))
 
 
 @query("SELECT k, CAST(group_id AS BIGINT) AS group_id, CAST(owner_n AS BIGINT) AS owner_n, CAST(holder_n AS BIGINT) AS holder_n FROM holders WHERE owner_n <> holder_n")
@@ -656,8 +659,7 @@ _HELD = """, held AS (SELECT h.*, r.ts_sec, r.size, r.record_flags, CASE WHEN h.
 
 
 def held(s, d):
-    own = fx.replicas(s, d).select("id", "group_id", "ts_sec", "size", "record_flags")
-    return holders(s, d).join(own, ["id", "group_id"]).withColumn("owner_ts", F.when(F.col("k") % 3 == 0, F.col("ts_sec") + F.col("k") % 2 * 10))
+    return _holder(routes.lookup(fx.replicas_of_keys(s, d), fx.routes(s))).withColumn("owner_ts", F.when(F.col("k") % 3 == 0, F.col("ts_sec") + F.col("k") % 2 * 10))
 
 
 @query(_HELD + "SELECT id, CAST(group_id AS BIGINT) AS group_id, CAST(holder_n AS BIGINT) AS holder_n, CAST(owner_n AS BIGINT) AS owner_n, CASE WHEN holder_n = owner_n THEN 'keep' WHEN record_flags = 128 THEN 'remove' WHEN owner_ts > ts_sec THEN 'remove' ELSE 'move' END AS action FROM held")
