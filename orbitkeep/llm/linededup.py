@@ -207,7 +207,7 @@ def _bands(n_buckets: int):
 
 
 def _shared(batches):
-    """Of rows sorted by bucket, (key, cls) for each class of the keys with several classes."""
+    """Of rows sorted by bucket, (key, cls, centre, size) of the keys with several classes: the smallest is the centre, and each other one has a row."""
 
     def cut(bucket: int, held: list) -> pa.RecordBatch:
         entries = np.frombuffer(b"".join(held), _ENTRY)
@@ -215,9 +215,10 @@ def _shared(batches):
         key, cls = entries["key"][order], entries["cls"][order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
         key, cls = key[new], cls[new]
-        same = np.concatenate([[False], key[1:] == key[:-1]])
-        same[:-1] |= same[1:]
-        return pa.RecordBatch.from_arrays([pa.array(key[same].astype(np.int64) + (bucket << 32)), pa.array(cls[same])], names=["key", "cls"])
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        size, of, other = np.diff(np.append(np.flatnonzero(first), len(key))), np.cumsum(first) - 1, ~first
+        columns = key.astype(np.int64) + (bucket << 32), cls, cls[first][of], size[of].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x[other]) for x in columns], names=["key", "cls", "centre", "size"])
 
     last, held = None, []
     for batch in batches:
@@ -266,23 +267,27 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     found = scratch.save(docs.mapInArrow(_occurrences, f"id {kind}, digest long, line int, cls long"))
-    classes = scratch.save(found.groupBy("cls").agg(F.min(F.struct("id", "digest", "line")).alias("first"), F.count("*").alias("n")))
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.select("text").mapInArrow(_bands(n_parts * BUCKETS), "bucket long, data binary").repartition(n_parts, "bucket").sortWithinPartitions("bucket")
-    members = scratch.save(packed.mapInArrow(_shared, "key long, cls long"))
+    members = scratch.save(packed.mapInArrow(_shared, "key long, cls long, centre long, size long"))
+
+    # the classes that are there several times or to be compared, each with its first place
+    compared = members.select("cls").union(members.select(F.col("centre").alias("cls"))).groupBy("cls").agg(F.lit(True).alias("compared"))
+    twice = found.groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1")
+    asked = scratch.save(compared.join(twice, "cls", "full").select("cls", F.col("n").isNotNull().alias("twice"), F.col("compared").isNotNull().alias("compared")))
+    classes = found.join(bounded(asked, asked.count()), "cls").groupBy("cls", "twice", "compared").agg(F.min(F.struct("id", "digest", "line")).alias("first"))
+    classes, n_compared = scratch.save(classes), asked.filter("compared").count()
 
     # the lines to compare, each from the document of its first place
-    compared = scratch.save(members.select("cls").distinct())
-    n_compared = compared.count()
-    wanted = classes.join(bounded(compared, n_compared), "cls").groupBy("first.id", "first.digest").agg(F.collect_list(F.struct("cls", "first.line")).alias("wanted"))
+    wanted = classes.filter("compared").groupBy("first.id", "first.digest").agg(F.collect_list(F.struct("cls", "first.line")).alias("wanted"))
     wanted = scratch.save(wanted)
     text = docs.join(bounded(wanted, n_compared), _on_document(docs, wanted)).select("text", "wanted")
     sets = one_each(text.mapInArrow(_line_bodies, "cls long, n long, body binary, marks binary"), scratch)
     labels = link_members(members, sets, gram_sets, scratch, NUM, DEN, SMALL)
-    scratch.drop(sets, wanted, compared)
+    scratch.drop(sets, wanted, asked)
 
     # the first place of each component, then of each of its classes, then of each occurrence
-    own = labels.toDF("cls", "comp").join(classes, "cls", "right").filter("n > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "cls"))
+    own = labels.toDF("cls", "comp").join(classes, "cls", "right").filter("twice OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "cls"))
     own = scratch.save(own.select("cls", "comp", "first"))
     firsts = scratch.save(own.groupBy("comp").agg(F.min("first").alias("kept")))
     kept = scratch.save(own.join(bounded(firsts, firsts.count()), "comp").select("cls", "kept"))
@@ -304,16 +309,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     gone = repeated_lines(docs, id_col, text_col)
     kept = [c for c in docs.columns if c not in ("n_lines", "dropped_lines")]
-    id_, digest, dropped, parts = (unused(c, docs.columns) for c in ("id", "digest", "dropped", "parts"))
+    id_, digest, dropped, parts, rest = (unused(c, docs.columns) for c in ("id", "digest", "dropped", "parts", "rest"))
     gone = bounded(gone, gone.count()).toDF(id_, digest, dropped)
     rows = docs.select(*kept).join(gone, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(digest)), "left")
     rows = rows.withColumn(parts, F.when(F.col(dropped).isNotNull(), F.split(F.col(text_col), "\n")))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(dropped)), lambda i: F.get(parts, i))
-    text = F.array_join(left, "\n")
-    text = F.when(F.trim(text, F.lit(" \t\n\x0b\f\r")) == "", F.lit("")).otherwise(text)
-    text = F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(text)
+    rows = rows.withColumn(rest, F.when(F.col(dropped).isNotNull(), F.array_join(left, "\n")))
+    text = F.when(F.trim(rest, F.lit(" \t\n\x0b\f\r")) == "", F.lit("")).otherwise(F.coalesce(rest, text_col))
     shown = [text.alias(c) if c == text_col else F.col(c) for c in kept]
-    n_lines = F.coalesce(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    n_lines = F.coalesce(F.octet_length(text_col) - F.octet_length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     return rows.select(*shown, n_lines.alias("n_lines"), F.coalesce(dropped, F.array().cast("array<int>")).alias("dropped_lines"))
 
 

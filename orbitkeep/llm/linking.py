@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .components import components
+from .components import contracted, with_roots
 from .scratch import Scratch
 
 #: Rows broadcast at most (about 16 bytes each); beyond that, a shuffled join.
@@ -24,8 +24,12 @@ BROADCAST_ROWS = 500_000
 DEVIATIONS = 4.2
 #: Pairs or bodies whose sets a task holds at once.
 PAIRS = 256
-#: Bytes of packed shingles that a task gathers before it passes them on, and buckets of them a shuffle partition.
-ENTRY_BYTES, BUCKETS = 1 << 23, 8
+#: Bytes of packed shingles that a task gathers before it passes them on.
+ENTRY_BYTES = 1 << 23
+#: Shingles a bucket, and buckets a shuffle partition at most: a task makes a row for each bucket that it has shingles for.
+BUCKET_ENTRIES, BUCKETS = 1 << 14, 8
+#: Rounds of union-find between two comparisons of which the second only profits from labels.
+ROUNDS = 2
 
 
 def bounded(df: DataFrame, n_rows: int) -> DataFrame:
@@ -52,6 +56,7 @@ def _estimate(num: int, den: int):
 
 #: An open class's shingle; the same with how often it occurs, the smallest set with it, and whether its component has it most often.
 _HASH = np.dtype([("h", "<i8"), ("cls", "<i8"), ("comp", "<i8"), ("n", "<i4")])
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 _SEEN = np.dtype([*_HASH.descr, ("df", "<i4"), ("least", "<i4"), ("main", "?")])
 
 
@@ -200,14 +205,14 @@ def _prefixes(num: int, den: int, n_buckets: int, width: int):
     return run
 
 
-def _met(num: int, den: int, width: int):
-    """The pairs (a, b) of different components that share a shingle of their prefixes and can reach the threshold."""
+def _met(num: int, den: int, n_buckets: int, width: int):
+    """The pairs of different components that share a shingle of their prefixes and can reach the threshold, dealt by their first class."""
 
     least = _least(num, den, width)
 
     def pairs(e: np.ndarray) -> np.ndarray:
         h, cls, comp, n, at, main, marks = (e[k] for k in ("h", "cls", "comp", "n", "at", "main", "marks"))
-        left, out, d = np.arange(len(h)), [np.zeros((0, 2), np.int64)], 0
+        left, out, d = np.arange(len(h)), [np.zeros(0, _PAIR)], 0
         while len(left):  # each entry with the one d places on, while that has the same shingle
             d += 1
             left = left[left + d < len(h)]
@@ -220,31 +225,47 @@ def _met(num: int, den: int, width: int):
             for k in range(0, len(i), 1 << 14):
                 p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
                 near = _likeness(marks[p], marks[q]) >= least
-                out.append(np.stack([np.minimum(cls[p], cls[q]), np.maximum(cls[p], cls[q])], axis=1)[near])
-        return np.unique(np.concatenate(out), axis=0)
-
-    def once(held: list) -> pa.RecordBatch:
-        found = np.unique(np.concatenate(held), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+                p, q = cls[p[near]], cls[q[near]]
+                out.append(np.empty(len(p), _PAIR))
+                out[-1]["a"], out[-1]["b"] = np.minimum(p, q), np.maximum(p, q)
+        return _once(np.concatenate(out))
 
     def run(batches):
-        held, size = [], 0
+        out = _Dealt("a", n_buckets)
         for data in _by_bucket(batches):
             e = np.frombuffer(data[0], _placed(width))
-            held.append(pairs(e[np.argsort(e["h"], kind="stable")]))
-            size += held[-1].nbytes
-            if size > ENTRY_BYTES:
-                yield once(held)
-                held, size = [], 0
-        if held:
-            yield once(held)
+            yield from out.add(pairs(e[np.argsort(e["h"], kind="stable")]))
+        yield from out.rest()
 
     return run
 
 
+def _once(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    return pairs[_starts(pairs["a"], pairs["b"])] if len(pairs) else pairs
+
+
+def _told(batches):
+    """Dealt pairs, each once."""
+    for data in _by_bucket(batches):
+        found = _once(np.frombuffer(data[0], _PAIR))
+        yield pa.RecordBatch.from_arrays([pa.array(found[k]) for k in ("a", "b")], names=["a", "b"])
+
+
 def _likeness(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Estimated similarities from marks; unequal minima share a byte once in 256."""
-    return ((p == q).mean(axis=1) * 256 - 1) / 255
+    return (_equal(p, q) / p.shape[1] * 256 - 1) / 255
+
+
+def _equal(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many bytes of each row agree: eight at a time, as no byte of a sum of up to 31 words overflows into the next."""
+    n, width = p.shape
+    if width % 8 or width > 248:
+        return np.count_nonzero(p == q, axis=1)
+    total = (p == q).view(np.uint64).reshape(n, width // 8).sum(axis=1, dtype=np.uint64)
+    low = total & np.uint64(0x00FF00FF00FF00FF)
+    low += (total >> np.uint64(8)) & np.uint64(0x00FF00FF00FF00FF)
+    return ((low * np.uint64(0x0001000100010001)) >> np.uint64(48)).astype(np.int64)
 
 
 def _sets_of(column: pa.Array, decode) -> list[np.ndarray]:
@@ -288,11 +309,11 @@ def labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFram
 
 
 class Linker:
-    """Confirmed links between classes so far, as labels (node, component)."""
+    """Confirmed links between classes so far, contracted, and labels (node, component) by them."""
 
     def __init__(self, sets: DataFrame, decode, scratch: Scratch, num: int, den: int):
         self.sets, self.decode, self.scratch, self.num, self.den = sets, decode, scratch, num, den
-        self.labels = None
+        self.links = self.labels = None
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """(a, b, likeness) of the pairs whose fragments leave the threshold possible."""
@@ -300,15 +321,23 @@ class Linker:
         both = pairs.join(marks.toDF("a", "ma"), "a").join(marks.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
         return self.scratch.save(both.mapInArrow(_estimate(self.num, self.den), "a long, b long, likeness double"))
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Link the pairs, of a saved table, that reach the threshold."""
-        bodies = self.sets.select("cls", "body")
-        both = bodies.toDF("a", "pa").join(bounded(pairs.select("a", "b"), pairs.count()), "a").join(bodies.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
+    def confirm(self, pairs: DataFrame, rounds: int | None = None) -> None:
+        """Link the pairs, of a saved table, that reach the threshold.
+
+        After ``rounds`` rounds of union-find, nodes with one label are in one
+        component, but a component may have several; without a limit, one.
+        """
+        bodies, n = self.sets.select("cls", "body"), pairs.count()
+        wanted = bodies.toDF("b", "pb").join(bounded(pairs.select("b").distinct(), n), "b", "left_semi")
+        both = bodies.toDF("a", "pa").join(bounded(pairs.select("a", "b"), n), "a").join(wanted, "b").select("a", "b", "pa", "pb")
         links = both.mapInArrow(_confirm(self.num, self.den, self.decode), "a long, b long")
-        if self.labels is not None:
-            links = links.union(self.labels.toDF("a", "b"))
-        old, self.labels = self.labels, self.scratch.save(components(links, self.scratch))
-        self.scratch.drop(old)
+        if self.links is not None:
+            links = links.union(self.links)
+        old = self.links, self.labels
+        self.links = contracted(links, self.scratch, rounds)
+        self.labels = self.links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")) if rounds else self.links.toDF("node", "component")
+        self.labels = self.scratch.save(self.labels) if rounds else self.labels
+        self.scratch.drop(*old)
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose ends are not in one component yet."""
@@ -319,15 +348,14 @@ class Linker:
         sets = self.sets.select("cls", F.col("n").cast("int").alias("n"), "body")
         return own.select("cls", "comp").join(sets, "cls").mapInArrow(_hash_rows(self.decode), "cls long, comp long, n int, h long")
 
-    def still_open(self, members: DataFrame, centres: DataFrame) -> DataFrame:
-        """Members, with comp, of the buckets that hold several components besides their centre.
+    def still_open(self, members: DataFrame) -> DataFrame:
+        """Members (key, cls), with comp and the number of them (open), of the buckets that hold several components.
 
-        The centre (key, centre) has been compared with every other member, so
-        it is done; most buckets, of two, are done with it.
+        The centre of a bucket is none of them: it has been compared with every
+        other member, so it is done.
         """
-        members = members.join(centres, "key").filter("cls <> centre").drop("centre")
-        rows = labelled(members.drop("comp"), self.labels, "cls", "comp")
-        several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+        rows = labelled(members, self.labels, "cls", "comp")
+        several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("open")).filter("lo < hi").select("key", "open")
         return self.scratch.save(rows.join(several, "key"))
 
 
@@ -352,6 +380,11 @@ def _possible(members: DataFrame, link: Linker) -> DataFrame:
     return rows
 
 
+def _n_buckets(n_shingles: int, n_parts: int) -> int:
+    """As many buckets as the shingles fill: few shingles are few rows, whatever the number of tasks and partitions."""
+    return max(1, min(n_parts * BUCKETS, -(-n_shingles // BUCKET_ENTRIES)))
+
+
 def _prefix_pairs(own: DataFrame, link: Linker) -> DataFrame:
     """Pairs (a, b) of different components that can reach the threshold: prefix filtering with positions.
 
@@ -364,61 +397,60 @@ def _prefix_pairs(own: DataFrame, link: Linker) -> DataFrame:
     shingle are never looked at.
     """
     spark, num, den = own.sparkSession, link.num, link.den
-    if (one := link.sets.select(F.length("marks").alias("width")).first()) is None:
-        return spark.createDataFrame([], "a long, b long")
-    n, width = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS, one["width"]
     dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
     own = link.scratch.save(own)
     rows = link.scratch.save(link.sets.select("cls", F.col("n").cast("int").alias("n"), "marks", "body").join(bounded(own, own.count()), "cls"))
+    width, n_shingles = rows.agg(F.max(F.length("marks")), F.sum("n")).first()
+    if width is None:
+        return spark.createDataFrame([], "a long, b long")
+    n = _n_buckets(n_shingles, int(spark.conf.get("spark.sql.shuffle.partitions")))
     marks = rows.select("cls", "marks").mapInArrow(_with_marks(n, width), _Dealt.SCHEMA)
     seen = dealt(rows.select("cls", "comp", "n", "body").mapInArrow(_spread(link.decode, n), _Dealt.SCHEMA)).mapInArrow(_counted(n), _Dealt.SCHEMA)
     first = dealt(seen.union(marks)).mapInArrow(_prefixes(num, den, n, width), _Dealt.SCHEMA)
-    pairs = link.scratch.save(dealt(first).mapInArrow(_met(num, den, width), "a long, b long").distinct())
+    met = dealt(first).mapInArrow(_met(num, den, n, width), _Dealt.SCHEMA)
+    pairs = link.scratch.save(dealt(met).mapInArrow(_told, "a long, b long"))
     link.scratch.drop(rows, own)
     return pairs
 
 
-def _small_pairs(rest: DataFrame, small: int) -> DataFrame:
-    """Pairs (a, b) of different components in the buckets of ``small`` members at most: less than ``small`` for each member."""
-    sizes = rest.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") <= small).select("key")
-    own = rest.join(sizes, "key")
-    return own.alias("a").join(own.alias("b"), "key").filter("a.cls < b.cls AND a.comp <> b.comp").select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+def _small_pairs(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in the buckets of ``rest``."""
+    return rest.alias("a").join(rest.alias("b"), "key").filter("a.cls < b.cls AND a.comp <> b.comp").select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
 
 
 def link_members(members: DataFrame, sets: DataFrame, decode, scratch: Scratch, num: int, den: int, small: int = 0) -> DataFrame:
     """Labels (node, component) of the classes that are linked to others; deletes ``members``.
 
-    Buckets of ``small`` members at most are compared in full.
+    Members (key, cls, centre, size) are the classes of a bucket but one, its
+    centre, and the number of all.  Buckets in which up to ``small`` others are
+    open after that are compared in full.
     """
     link = Linker(sets, decode, scratch, num, den)
-    # one centre a bucket
-    centres = members.groupBy("key").agg(F.min("cls").alias("centre"))
-    star = link.near(members.join(centres, "key").filter("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct())
+    star = link.near(members.select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct())
     if small:
-        link.confirm(star.select("a", "b"))
+        link.confirm(star.select("a", "b"), ROUNDS)
     else:  # each class tries its likeliest centre before the others
         link.confirm(scratch.save(star.groupBy("b").agg(F.max_by("a", "likeness").alias("a"))))
         link.confirm(scratch.save(link.apart(star.select("a", "b"))))
-    rest = link.still_open(members, centres)
+    rest = link.still_open(members.filter("size > 2").select("key", "cls"))
     scratch.drop(members, star)
     if small:
-        link.confirm(link.near(_small_pairs(rest, small)))
-        large = rest.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > small).select("key")
-        rest = labelled(rest.drop("comp").join(large, "key"), link.labels, "cls", "comp")
-        several = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        rest = scratch.save(rest.join(several, "key").select("key", "cls", "comp"))
+        link.confirm(link.near(_small_pairs(rest.filter(F.col("open") <= small))))
+        crowded = rest.filter(F.col("open") > small).select("key", "cls")
+        old, rest = rest, link.still_open(crowded)
+        scratch.drop(old)
 
     if rest.limit(1).count():
         if not small:  # what can still be linked, first by the centre that shares the most
-            rest = _possible(rest, link)
+            rest = _possible(rest.select("key", "cls", "comp"), link)
             centre = rest.groupBy("key").agg(F.max_by(F.struct("cls", "comp", "n", "c"), F.expr("struct(c / n, -cls)")).alias("x")).select("key", "x.*")
             star = centre.alias("a").join(rest.alias("b"), "key").filter(_fits(num, den)).select(F.expr("least(a.cls, b.cls) a"), F.expr("greatest(a.cls, b.cls) b")).distinct()
             link.confirm(link.near(star))
-            rest = link.still_open(rest, centre.select("key", F.col("cls").alias("centre")))
+            rest = link.still_open(rest.join(centre.select("key", F.col("cls").alias("centre")), "key").filter("cls <> centre").select("key", "cls"))
         # and then exactly: all that share a rare enough shingle
         link.confirm(_prefix_pairs(rest.select("cls", "comp").distinct(), link))
     scratch.drop(rest)
-    return link.labels
+    return with_roots(link.labels)
 
 
 def one_each(sets: DataFrame, scratch: Scratch) -> DataFrame:

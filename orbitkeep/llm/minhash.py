@@ -110,7 +110,7 @@ def _marked(batches):
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
-    """(key, cls) of the buckets of all tables that hold two classes or more."""
+    """(key, cls, centre, size) of the buckets of all tables that hold two classes or more: the smallest is the centre, and each other one has a row."""
     full = signed.filter("n > 0")
     left = full.select("cls", F.posexplode("left").alias("i", "v"))
     shared = left.groupBy("i", "v").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("i", "v")
@@ -119,8 +119,8 @@ def _buckets(signed: DataFrame) -> DataFrame:
     rows = rows.select("cls", "right", F.explode(F.expr("filter(transform(left, (v, i) -> struct(i, v)), x -> shiftright(mask, x.i) & 1 = 1)")).alias("l"))
     rows = rows.select("cls", "l.i", "l.v", F.posexplode("right").alias("j", "w"))
     keyed = rows.select("cls", F.xxhash64("i", "v", "j", "w").alias("key"))
-    multi = keyed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("key")
-    return keyed.join(multi, "key")
+    multi = keyed.groupBy("key").agg(F.min("cls").alias("centre"), F.count("*").alias("size")).filter("size > 1")
+    return keyed.join(multi, "key").filter("cls <> centre")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100) -> DataFrame:
@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = scratch.save(docs.mapInArrow(_signatures, "id long, digest long, n long, cls long, left array<long>, right array<long>"))
     members = scratch.save(_buckets(signed))
     places = signed.select("cls", F.struct("id", "digest").alias("place"))
-    candidates = members.select("cls").distinct().join(places, "cls").groupBy("cls").agg(F.min("place").alias("place"))
+    candidates = members.select("cls").union(members.select("centre")).distinct().join(places, "cls").groupBy("cls").agg(F.min("place").alias("place"))
     candidates = scratch.save(candidates.select("cls", F.col("place.id").alias("id"), F.col("place.digest").alias("digest")))
     same = docs["id"].eqNullSafe(candidates["id"]) & (docs["digest"] == candidates["digest"])
     text = docs.join(bounded(candidates, candidates.count()), same).select("cls", F.col("text").cast("binary").alias("body"))

@@ -6,7 +6,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from orbitkeep.llm import linededup, minhash
+from orbitkeep.llm import components as union_find
+from orbitkeep.llm import linededup, linking, minhash
+from orbitkeep.llm.scratch import Scratch
 
 SCHEMA = "doc_id long, text string"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -197,3 +199,53 @@ def test_recall_of_bands():
         table = linededup.signatures(*linededup.line_shingles(data, at[:-1], at[1:])).reshape(-1, 2, linededup.BANDS, linededup.ROWS)
         met = (table[:, 0] == table[:, 1]).all(axis=2).any(axis=1)
         assert 1 - met.mean() <= most, (low, high, 1 - met.mean())
+
+
+def hot_family(seed, n):
+    """Lines that resemble each other at about the threshold, so that they share bands and few are linked."""
+    rng = random.Random(seed)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300))
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randint(5, 9)):
+            own[rng.randrange(300)] = rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+        out.append("".join(own))
+    return out
+
+
+def test_rows_of_the_exact_step_follow_the_shingles_not_the_partitions(spark):
+    """Few shingles fill few buckets, however many partitions there are; the pairs stay those of all buckets."""
+    sets = [linededup.gram_sets(np.frombuffer(x.lower().encode(), np.uint8), np.array([0, len(x)]))[0] for x in hot_family(9, 150)]
+    total = sum(len(s) for s in sets)
+    assert linking._n_buckets(total, 211) <= 4 and linking._n_buckets(10**9, 211) == 211 * 8 and linking._n_buckets(0, 1) == 1
+    entries = np.concatenate([np.array([(h, k, k, len(s)) for h in s.view(np.int64)], linking._HASH) for k, s in enumerate(sets)])
+    n = linking._n_buckets(total, 211)
+    rows = 0
+    for part in np.array_split(entries, 211):  # as many tasks as partitions
+        out = linking._Dealt("h", n)
+        rows += sum(b.num_rows for b in [*out.add(part), *out.rest()])
+    assert rows <= 211 * n < len(entries) / 50
+    rng = np.random.default_rng(3)
+    p, q = (rng.integers(0, 4, (500, 128)).astype(np.uint8) for _ in range(2))
+    assert (linking._equal(p, q) == (p == q).sum(axis=1)).all() and (linking._equal(p, p) == 128).all()
+    assert (linking._equal(p[:, :60], q[:, :60]) == (p[:, :60] == q[:, :60]).sum(axis=1)).all()
+
+
+def test_a_crowded_family_of_lines_equals_brute_force(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        check_lines(spark, [(k, line) for k, line in enumerate(hot_family(9, 150))])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_contracted_links_keep_their_components(spark):
+    rng = random.Random(7)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)]
+    frame, scratch = spark.createDataFrame(links, "a long, b long"), Scratch(spark)
+    whole = {r.node: r.component for r in union_find.components(frame, scratch).collect()}
+    assert all(whole[a] == whole[b] and whole[a] <= a for a, b in links if a != b)
+    few = union_find.contracted(frame, scratch, 1)
+    assert {r.node: r.component for r in union_find.components(few, scratch).collect()} == whole
