@@ -432,7 +432,9 @@ def link_members(members: DataFrame, sets: DataFrame, decode, scratch: Scratch,
     else:  # each class tries its likeliest centre before the others
         link.confirm(scratch.save(star.groupBy("b").agg(F.max_by("a", "likeness").alias("a"))))
         link.confirm(scratch.save(link.apart(star.select("a", "b"))))
-    rest = link.still_open(members.filter("size > 2").select("key", "cls"))
+    # without limits to a full comparison, buckets with one centre are one: a family has as many rows as it has classes and centres, not tables
+    open_ = members.filter("size > 2").select("key" if small else F.col("centre").alias("key"), "cls")
+    rest = link.still_open(open_ if small else open_.distinct())
     scratch.drop(members, star)
     if small:
         link.confirm(link.near(_small_pairs(rest.filter(F.col("open") <= small))))

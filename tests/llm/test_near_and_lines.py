@@ -249,3 +249,20 @@ def test_contracted_links_keep_their_components(spark):
     assert all(whole[a] == whole[b] and whole[a] <= a for a, b in links if a != b)
     few = union_find.contracted(frame, scratch, 1)
     assert {r.node: r.component for r in union_find.components(few, scratch).collect()} == whole
+
+
+def test_buckets_of_one_centre_are_looked_at_once(spark, monkeypatch):
+    """A family meets in very many tables; what is still open has a row for each class and centre, not for each table."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for _ in range(150):
+        own = list(base)
+        for _ in range(rng.randint(1, 6)):
+            own[rng.randrange(200)] = f"x{rng.random()}"
+        texts.append(" ".join(own))
+    seen, still_open = [], linking.Linker.still_open
+    monkeypatch.setattr(linking.Linker, "still_open", lambda self, members: seen.append((members.count(), members.distinct().count(), members.select("key").distinct().count())) or still_open(self, members))
+    got = sorted(minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect())
+    assert [r.component_id for r in got] == components([shingles(t) for t in texts], 85, 100)
+    assert seen and all(n == once and keys <= 150 for n, once, keys in seen), seen
