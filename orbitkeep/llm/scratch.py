@@ -9,8 +9,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Whether a finished action's shuffle files go at once, else only when the driver's garbage is collected.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while an action runs: a finished one's shuffle files go at once, else only when the driver's garbage is collected; and
+#: Arrow batches, which a task and its Python worker both hold beside the heap, end at so many bytes (64 MB else, or 10,000 whole texts).
+_HELD = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": f"{1 << 22}b"}
 _lock = threading.Lock()
 _users: dict[int, list] = {}
 
@@ -45,12 +46,13 @@ class Scratch:
 
     @contextmanager
     def leaving_no_shuffle_files(self):
-        """Actions within need their shuffle files no longer when they end; the setting is restored when the last of concurrent users is done."""
+        """Actions within need their shuffle files no longer when they end, and small batches; the settings are restored when the last of concurrent users is done."""
         conf, key = self.spark.conf, id(self.spark)
         with _lock:
-            own = _users.setdefault(key, [0, conf.get(_CLEANUP, None)])
+            own = _users.setdefault(key, [0, {k: conf.get(k, None) for k in _HELD}])
             own[0] += 1
-            conf.set(_CLEANUP, "true")
+            for k, v in _HELD.items():
+                conf.set(k, v)
         try:
             yield
         finally:
@@ -58,7 +60,8 @@ class Scratch:
                 own[0] -= 1
                 if not own[0]:
                     del _users[key]
-                    conf.unset(_CLEANUP) if own[1] is None else conf.set(_CLEANUP, own[1])
+                    for k, v in own[1].items():
+                        conf.unset(k) if v is None else conf.set(k, v)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{uuid.uuid4().hex}"

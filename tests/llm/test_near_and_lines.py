@@ -266,3 +266,20 @@ def test_buckets_of_one_centre_are_looked_at_once(spark, monkeypatch):
     got = sorted(minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect())
     assert [r.component_id for r in got] == components([shingles(t) for t in texts], 85, 100)
     assert seen and all(n == once and keys <= 150 for n, once, keys in seen), seen
+
+
+def test_batches_of_saved_tables_are_small(spark):
+    """What a task and its Python worker hold beside the heap does not follow the length of texts; settings are restored."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    keys = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"]
+    before = [spark.conf.get(k, None) for k in keys]
+    texts = spark.range(0, 3000, 1, 1).selectExpr("repeat(cast(id as string), 2500) AS text")  # about 10 KB each
+    seen = Scratch(spark).save(texts.mapInArrow(sizes, "n long, size long")).collect()
+    assert sum(r.n for r in seen) == 3000 and sum(r.size for r in seen) > 20 << 20
+    assert max(r.size for r in seen) < 5 << 20
+    assert [spark.conf.get(k, None) for k in keys] == before
