@@ -36,7 +36,7 @@ BINS = BANDS * ROWS
 #: Lines are linked at this similarity.
 NUM, DEN = 80, 100
 #: Classes that a task remembers at most, so as not to band them again, and entries of bands that it gathers before it passes them on.
-REMEMBERED, GATHER = 1 << 18, 1 << 20
+REMEMBERED, GATHER = 1 << 18, 1 << 18
 #: Buckets of band keys a shuffle partition: a bucket is sorted in memory.
 BUCKETS = 8
 #: Bytes of a signature kept beside a line.

@@ -25,7 +25,7 @@ DEVIATIONS = 4.2
 #: Pairs or bodies whose sets a task holds at once.
 PAIRS = 256
 #: Bytes of packed shingles that a task gathers before it passes them on.
-ENTRY_BYTES = 1 << 23
+ENTRY_BYTES = 1 << 22
 #: Shingles a bucket, and buckets a shuffle partition at most: a task makes a row for each bucket that it has shingles for.
 BUCKET_ENTRIES, BUCKETS = 1 << 14, 8
 #: Rounds of union-find between two comparisons of which the second only profits from labels.

@@ -283,3 +283,14 @@ def test_batches_of_saved_tables_are_small(spark):
     assert sum(r.n for r in seen) == 3000 and sum(r.size for r in seen) > 20 << 20
     assert max(r.size for r in seen) < 5 << 20
     assert [spark.conf.get(k, None) for k in keys] == before
+
+
+def test_bands_are_passed_on_in_small_parts():
+    """What a task gathers of bands stays small however many lines it has, and is whole."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = ["\n".join("".join(rng.choices("abcdefgh ", k=97)) + "end" for _ in range(1000)) for _ in range(48)]
+    parts = list(linededup._bands(4)(pa.RecordBatch.from_arrays([pa.array([t])], names=["text"]) for t in texts))
+    assert max(p.nbytes for p in parts) < 5 << 20
+    assert sum(len(x) for p in parts for x in p.column(1).to_pylist()) == 48_000 * linededup.BANDS * linededup._ENTRY.itemsize
