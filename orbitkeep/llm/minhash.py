@@ -13,6 +13,8 @@ How hot groups are kept cheap, without losing a link:
 * right keys are expanded only for left keys that two classes share;
 * in a bucket each class is first compared with one centre only; links found
   there are joined into components, and buckets within one component are done;
+* what is left open is looked at by centre, the buckets of one together: a row for
+  each class and centre, not for each table;
 * for the rest, a class that shares c of its n shingles with other classes can
   only link to a class of at most c * (t + 1) / t - n shingles, where t is the
   threshold; this exact bound removes the many almost-similar members of a
