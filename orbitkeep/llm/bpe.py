@@ -4,7 +4,8 @@ Words of many texts are merged together: their symbols lie in one flat array,
 every round looks all neighbouring pairs up by binary search over the sorted
 pair keys, and merges in each word the pair of the lowest rank, wherever it
 stands.  Words met before come from a bounded cache, so rounds run over new
-words only.
+words only.  The cache has a word's ids as bytes of int32; texts of ids are
+joined from them by Arrow.
 
 The vocabulary is a tokenizer file (JSON) of the word-end kind: normalised by
 NFC and lower case, split by a pattern, bytes mapped to printable characters,
@@ -17,18 +18,24 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 #: Words that a Python worker remembers at most.
 CACHE_WORDS = 200_000
 #: Characters of text that are split before their new words are merged.
 BATCH_CHARS = 1 << 21
+#: Rows whose texts are Python strings at once, besides those that are being split.
+ROWS = 256
 END = "</w>"
 NONE = np.int64(1 << 40)
 #: White space of the split pattern, Latin-1 first.
@@ -72,8 +79,9 @@ class Bpe:
             raise ValueError("merges are not in the order of their parts")
         order = np.argsort(keys)
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.texts: dict[str, tuple[str, str]] = {}
+        self.cache: dict[str | int, bytes] = {}
+        every = range(max(self.tokens) + 1)
+        self.names, self.numbers = pa.array(map(self.tokens.get, every), pa.string()), pa.array(map(str, every), pa.string())
 
     def rank_of(self, a: np.ndarray, b: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols, NONE where there is no merge or not ``inside`` one word."""
@@ -81,8 +89,8 @@ class Bpe:
         at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
         return np.where((self.keys[at] == pair) & inside, self.ranks[at], NONE)
 
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word."""
+    def merge(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as int32."""
         raw = [w.encode() for w in words]
         sizes = np.array([len(x) for x in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -90,14 +98,16 @@ class Bpe:
         symbols = self.inner[data]
         symbols[ends - 1] = self.final[data[ends - 1]]
         owner = np.repeat(np.arange(len(words)), sizes)
-        done: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
+        done: list[bytes] = [None] * len(words)  # type: ignore[list-item]
         rank = np.append(self.rank_of(symbols[:-1], symbols[1:], owner[:-1] == owner[1:]), NONE)[: len(symbols)]
         while len(symbols):
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             low = np.minimum.reduceat(rank, first)
             bounds = np.append(first, len(symbols))
-            for k in np.flatnonzero(low == NONE):
-                done[owner[first[k]]] = symbols[bounds[k] : bounds[k + 1]]
+            final = np.flatnonzero(low == NONE)
+            ids = symbols.astype(np.int32).tobytes()
+            for k, a, b in zip(owner[first[final]].tolist(), (4 * first[final]).tolist(), (4 * bounds[final + 1]).tolist(), strict=True):
+                done[k] = ids[a:b]
             per = np.repeat(low, np.diff(bounds))
             hit = np.flatnonzero((rank == per) & (per != NONE))
             if not len(hit):
@@ -148,16 +158,24 @@ class Bpe:
     def learn(self, split: list[list]) -> None:
         """Put the words' ids into the cache."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache, self.texts = {}, {}
+            self.cache = {}
         new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in self.cache]
         words = [w for w in new if isinstance(w, str)]
-        for w, ids in zip(words, self.merge(words), strict=True):
-            self.cache[w] = tuple(ids.tolist())
-        for w in new:
-            own = self.cache.setdefault(w, (w,))
-            self.texts[w] = " ".join(map(str, own)), " ".join(map(self.tokens.__getitem__, own))
+        self.cache.update(zip(words, self.merge(words), strict=True))
+        self.cache.update((w, np.int32(w).tobytes()) for w in new if not isinstance(w, str))
+
+    def ids(self, split: list[list]) -> pa.ListArray:
+        """Ids of texts whose words are in the cache."""
+        own = [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in own])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(own), np.int32)))
+
+    @staticmethod
+    def joined(ids: pa.ListArray, names: pa.Array) -> pa.Array:
+        """The names of each row's ids, joined by one space."""
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, names.take(ids.values)), " ")
 
-    def batches(self, texts: list[str]):
+    def batches(self, texts: Iterable[str]):
         """Lists of split texts whose words are in the cache."""
         part, size = [], 0
         for t in texts:
@@ -172,8 +190,8 @@ class Bpe:
             yield part
 
     def encode(self, text: str) -> list[int]:
-        [[words]] = [*self.batches([text])]
-        return [*chain.from_iterable(map(self.cache.__getitem__, words))]
+        [part] = self.batches([text])
+        return self.ids(part).values.to_pylist()
 
     def decode(self, ids) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -191,41 +209,35 @@ def _of(spec: str) -> Bpe:
     return _made[key]
 
 
-def _strings(column: pa.Array) -> list[str]:
-    return column.fill_null("").to_pylist()
+def _strings(column: pa.Array) -> Iterator[str]:
+    for i in range(0, len(column), ROWS):
+        yield from column.slice(i, ROWS).fill_null("").to_pylist()
 
 
-def _runner(spec, make):
+def _runner(spec, make, place: int | None):
+    """place: of the text within the row, None if it comes beside the row."""
     shared = spec
 
     def run(batches):
         bpe = _of(shared.value)
         for batch in batches:
-            at = 0
-            for part in bpe.batches(_strings(batch.column(1))):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *make(bpe, part)], names=["row", *make.names])
+            rows, at = batch.column(0), 0
+            for part in bpe.batches(_strings(batch.column(1) if place is None else rows.field(place))):
+                yield pa.RecordBatch.from_arrays([rows.slice(at, len(part)), *make(bpe, part)], names=["row", *make.names])
                 at += len(part)
 
     return run
 
 
 def _ids(bpe: Bpe, part: list[list]) -> list[pa.Array]:
-    own = [np.fromiter(chain.from_iterable(map(bpe.cache.__getitem__, words)), np.int32) for words in part]
-    at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-    decoded = [" ".join([bpe.texts[w][1] for w in words]) for words in part]
-    return [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own))), pa.array(decoded, pa.string())]
+    ids = bpe.ids(part)
+    return [ids, bpe.joined(ids, bpe.names)]
 
 
 def _digests(bpe: Bpe, part: list[list]) -> list[pa.Array]:
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    n, ids, decoded = [], [], []
-    for words in part:
-        both = [bpe.texts[w] for w in words]
-        own = " ".join([x[0] for x in both])
-        n.append(own.count(" ") + 1 if own else 0)
-        ids.append(sha(own))
-        decoded.append(sha(" ".join([x[1] for x in both])))
-    return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+    ids = bpe.ids(part)
+    sha = lambda x: pa.array([hashlib.sha256(s).hexdigest() for s in x.cast(pa.binary()).to_pylist()], pa.string())
+    return [pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)), sha(bpe.joined(ids, bpe.numbers)), sha(bpe.joined(ids, bpe.names))]
 
 
 _ids.names = ["ids", "decoded"]
@@ -235,9 +247,12 @@ _digests.names = ["n_tokens", "ids_sha256", "decoded_sha256"]
 def _run(docs: DataFrame, path: str, columns, text: str, make, types: str) -> DataFrame:
     with open(path, encoding="utf-8") as f:  # on the driver; about 2 MB, sent to each executor once
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    row = F.struct(*[F.col(c) for c in columns])
-    schema = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
-    return docs.select(row.alias("row"), F.col(text).alias("text")).mapInArrow(_runner(spec, make), f"row {schema}, {types}")
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col(text).alias("text"))
+    schema, place = rows.schema["row"].dataType.simpleString(), None
+    if text in columns:  # texts go to the workers once
+        rows, place = rows.select("row"), columns.index(text)
+    return rows.mapInArrow(_runner(spec, make, place), f"row {schema}, {types}")
 
 
 def tokenized(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -245,7 +260,9 @@ def tokenized(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     Null and empty texts have no ids and an empty decoded text.  Special tokens
     that stand in a text are single ids.  Whole texts are encoded, rows stay in
-    place and no column is lost; an empty table gives no rows.
+    place and no column is lost; an empty table gives no rows.  As the result is
+    computed after this call, the session's Arrow batches end at 4 MB from then
+    on, unless it has a limit of its own.
     """
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
     out = _run(docs, path, kept, text, _ids, "ids array<int>, decoded string")

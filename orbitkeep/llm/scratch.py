@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Held while an action runs: a finished one's shuffle files go at once, else only when the driver's garbage is collected; and
 #: Arrow batches, which a task and its Python worker both hold beside the heap, end at so many bytes (64 MB else, or 10,000 whole texts).
-_HELD = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": f"{1 << 22}b"}
+_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": f"{1 << 22}b"}
+_HELD = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | _BATCH
 _lock = threading.Lock()
 _users: dict[int, list] = {}
 
@@ -24,6 +25,17 @@ def unused(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of frames that run later are small, too; a limit that the session was given stays."""
+    with _lock:
+        later = _users[id(spark)][1] if id(spark) in _users else None  # what concurrent users restore
+        for k, v in _BATCH.items():
+            if later is not None:
+                later[k] = later[k] or v
+            elif spark.conf.get(k, None) is None:
+                spark.conf.set(k, v)
+
+
 class Scratch:
     """Parquet tables under ``spark.checkpoint.dir`` or, where that is unset, under the warehouse.
 

@@ -44,6 +44,50 @@ def test_bpe_frames(spark):
     assert bpe.tokenized(docs.limit(0), bpe.vocabulary()).count() == 0
 
 
+def test_bpe_remembers_words_in_little_memory():
+    """A worker's cache has a few hundred bytes a word, and the arrays of merge rounds are gone."""
+    import tracemalloc
+
+    own = bpe.Bpe(open(bpe.vocabulary(), encoding="utf-8").read())
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(30_000)]
+    text = " ".join(words)
+    tracemalloc.start()
+    ids = own.encode(text)
+    n = len(ids)
+    del ids, words
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert n > 60_000 and len(own.cache) >= 30_000 and held < 300 * len(own.cache)
+
+
+@pytest.mark.parametrize("limit", [None, "1m"])
+def test_bpe_gets_texts_once_in_small_batches(spark, monkeypatch, limit):
+    """What a task and its Python worker hold beside the heap does not follow the length of texts; a session's own limit stays."""
+    import pyarrow as pa
+
+    def sizes(*_):
+        return lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array([[b.nbytes]] * b.num_rows, pa.list_(pa.int32())), pa.array([""] * b.num_rows)], names=["row", "ids", "decoded"]) for b in batches)
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(bpe, "_runner", sizes)
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "repeat(cast(id as string), 2500) AS text")  # about 10 KB each
+    try:
+        spark.conf.unset(key)
+        if limit:
+            spark.conf.set(key, limit)
+        rows = bpe.tokenized(docs, bpe.vocabulary()).collect()
+        seen = {r.ids[0] for r in rows}
+        assert len(rows) == 2000 and max(seen) < (5 << 20 if limit is None else 5 << 18)
+        assert spark.conf.get(key) == (limit or f"{1 << 22}b")
+        # rows of a batch have its size: each counts for its share
+        times = {n: sum(r.ids[0] == n for r in rows) for n in seen}
+        widest = max(len(r.text) for r in rows)
+        assert all(n <= 1.2 * widest * k for n, k in times.items())
+    finally:
+        spark.conf.unset(key)
+
+
 def test_likelihoods(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(("a B c d", "x y z", "x w")) for _ in range(rng.randint(0, 30))) for _ in range(150)] + [None, "", "unseen1 unseen2", "\n", "W" * 9000]
