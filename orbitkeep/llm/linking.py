@@ -28,6 +28,10 @@ PAIRS = 256
 ENTRY_BYTES = 1 << 22
 #: Shingles a bucket, and buckets a shuffle partition at most: a task makes a row for each bucket that it has shingles for.
 BUCKET_ENTRIES, BUCKETS = 1 << 14, 8
+#: Candidates that a task looks at, at once.
+CANDIDATES = 1 << 14
+#: Classes of a family on either side of a block of pairs, and pairs that groups of smaller blocks are filled with.
+BLOCK, GROUP_PAIRS = 1 << 10, 1 << 15
 #: Rounds of union-find between two comparisons of which the second only profits from labels.
 ROUNDS = 2
 
@@ -210,36 +214,58 @@ def _met(num: int, den: int, n_buckets: int, width: int):
 
     least = _least(num, den, width)
 
-    def pairs(e: np.ndarray) -> np.ndarray:
-        h, cls, comp, n, at, main, marks = (e[k] for k in ("h", "cls", "comp", "n", "at", "main", "marks"))
-        left, out, d = np.arange(len(h)), [np.zeros(0, _PAIR)], 0
-        while len(left):  # each entry with the one d places on, while that has the same shingle
-            d += 1
-            left = left[left + d < len(h)]
-            left = left[h[left] == h[left + d]]
-            i, j = left, left + d
-            keep = (comp[i] != comp[j]) & ~(main[i] & main[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
-            i, j = i[keep], j[keep]
-            keep = np.minimum(n[i] - at[i], n[j] - at[j]) * (den + num) >= num * (n[i] + n[j])
-            i, j = i[keep], j[keep]
-            for k in range(0, len(i), 1 << 14):
-                p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-                near = _likeness(marks[p], marks[q]) >= least
-                p, q = cls[p[near]], cls[q[near]]
-                out.append(np.empty(len(p), _PAIR))
-                out[-1]["a"], out[-1]["b"] = np.minimum(p, q), np.maximum(p, q)
-        return _once(np.concatenate(out))
+    def pairs(e: np.ndarray):
+        cls, marks, held, size = e["cls"], e["marks"], [], 0
+        for i, j in _possible_pairs(e, num, den):
+            near = _likeness(marks[i], marks[j]) >= least
+            p, q = cls[i[near]], cls[j[near]]
+            held.append(np.empty(len(p), _PAIR))
+            held[-1]["a"], held[-1]["b"] = np.minimum(p, q), np.maximum(p, q)
+            size += len(p)
+            if size > CANDIDATES:
+                yield _once(np.concatenate(held))
+                held, size = [], 0
+        if held:
+            yield _once(np.concatenate(held))
 
     def run(batches):
         out = _Dealt("a", n_buckets)
         for data in _by_bucket(batches):
-            e = np.frombuffer(data[0], _placed(width))
-            yield from out.add(pairs(e[np.argsort(e["h"], kind="stable")]))
+            for found in pairs(np.frombuffer(data[0], _placed(width))):
+                yield from out.add(found)
         yield from out.rest()
 
     return run
 
 
+def _possible_pairs(e: np.ndarray, num: int, den: int):
+    """(i, j), a part at a time: the entries of one shingle and different components that can reach the threshold by their sizes and places.
+
+    Within a shingle's largest component no entry meets another: the others
+    meet those of it, and each other, whose sizes are in their reach.
+    """
+    order = np.lexsort((e["n"], e["h"]))
+    h, comp, n, at, main = (e[k][order] for k in ("h", "comp", "n", "at", "main"))
+    n, at = n.astype(np.int64), at.astype(np.int64)
+    reach = ((n - at) * (den + num) - num * n) // num  # the size of the largest set that an entry can be linked to
+    step = int(n.max(initial=0)) * den // num + 2
+    code = (np.cumsum(_starts(h)) - 1) * step  # sorted by shingle, then by size
+    ours = np.flatnonzero(~main)
+    for theirs in (np.flatnonzero(main), ours):
+        first = np.searchsorted(code[theirs] + n[theirs], code[ours] - (-num * n[ours] // den))
+        if theirs is ours:  # each pair once
+            first = np.maximum(first, np.arange(len(ours)) + 1)
+        stop = np.searchsorted(code[theirs] + n[theirs], code[ours] + np.clip(np.minimum(reach[ours], n[ours] * den // num), 0, step - 1), side="right")
+        count = np.maximum(stop - first, 0)
+        cuts = np.concatenate([[0], np.cumsum(count)])
+        for k in range(0, int(cuts[-1]), CANDIDATES):
+            place = np.arange(k, min(k + CANDIDATES, int(cuts[-1])))
+            own = np.searchsorted(cuts, place, side="right") - 1
+            i, j = ours[own], theirs[first[own] + place - cuts[own]]
+            keep = (comp[i] != comp[j]) & (n[i] <= reach[j])
+            yield order[i[keep]], order[j[keep]]
+
+
 def _once(pairs: np.ndarray) -> np.ndarray:
     pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
     return pairs[_starts(pairs["a"], pairs["b"])] if len(pairs) else pairs
@@ -291,6 +317,37 @@ def _confirm(num: int, den: int, decode):
     return run
 
 
+def _confirm_groups(num: int, den: int, decode):
+    """Of the pairs (g, o, p) of a group, those that reach the threshold; each of the bodies (group, cls, body) is decoded once."""
+
+    def run(pairs: pa.Table, bodies: pa.Table) -> pa.Table:
+        cls = bodies.column("cls").to_numpy()
+        sets = _sets_of(bodies.column("body"), decode) if len(cls) else [np.zeros(0, np.uint64)]
+        n = np.array([len(x) for x in sets])
+        first = np.concatenate([[0], np.cumsum(n)])
+        values, places = np.unique(np.concatenate(sets), return_inverse=True)
+        o, p = (pairs.column(k).to_numpy() for k in ("o", "p"))
+        order = np.argsort(o, kind="stable")
+        o, p = o[order], p[order]
+        by_cls = np.argsort(cls)
+        at_o, at_p = (by_cls[np.searchsorted(cls, x, sorter=by_cls)] for x in (o, p))
+        own, ok = np.zeros(len(values), bool), np.zeros(len(o), bool)
+        runs = np.append(np.flatnonzero(_starts(o)), len(o)) if len(o) else np.zeros(1, np.int64)
+        for i, stop in zip(runs[:-1], runs[1:], strict=True):
+            x = at_o[i]
+            own[places[first[x] : first[x + 1]]] = True
+            for k in range(i, stop, PAIRS):
+                y = at_p[k : min(k + PAIRS, stop)]
+                cuts = np.cumsum(n[y])
+                both = own[places[np.repeat(first[y] - cuts + n[y], n[y]) + np.arange(cuts[-1])]]
+                same = np.add.reduceat(both, cuts - n[y], dtype=np.int64)
+                ok[k : k + len(y)] = den * same >= num * (n[x] + n[y] - same)
+            own[places[first[x] : first[x + 1]]] = False
+        return pa.table({"a": o[ok], "b": p[ok]})
+
+    return run
+
+
 def _hash_rows(decode):
     def run(batches):
         for batch in batches:
@@ -330,7 +387,24 @@ class Linker:
         bodies, n = self.sets.select("cls", "body"), pairs.count()
         wanted = bodies.toDF("b", "pb").join(bounded(pairs.select("b").distinct(), n), "b", "left_semi")
         both = bodies.toDF("a", "pa").join(bounded(pairs.select("a", "b"), n), "a").join(wanted, "b").select("a", "b", "pa", "pb")
-        links = both.mapInArrow(_confirm(self.num, self.den, self.decode), "a long, b long")
+        self.link(both.mapInArrow(_confirm(self.num, self.den, self.decode), "a long, b long"), rounds)
+
+    def confirm_families(self, pairs: DataFrame, own: DataFrame) -> None:
+        """Link the pairs, of a saved table, that reach the threshold; ``own`` has the component and body of each class.
+
+        For families, in which a class has many pairs: its body goes to the
+        groups of its pairs, not to each pair.
+        """
+        if not (n_pairs := pairs.count()):
+            return
+        grouped = self.scratch.save(_in_groups(pairs, own, -(-n_pairs // GROUP_PAIRS)))
+        wanted = grouped.select("g", F.col("o").alias("cls")).union(grouped.select("g", "p")).distinct()
+        bodies = own.select("cls", "body").join(wanted, "cls").select(F.col("g").alias("group"), "cls", "body")
+        self.link(grouped.groupBy("g").cogroup(bodies.groupBy("group")).applyInArrow(_confirm_groups(self.num, self.den, self.decode), "a long, b long"))
+        self.scratch.drop(grouped)
+
+    def link(self, links: DataFrame, rounds: int | None = None) -> None:
+        """Add links that are confirmed to those so far."""
         if self.links is not None:
             links = links.union(self.links)
         old = self.links, self.labels
@@ -385,8 +459,27 @@ def _n_buckets(n_shingles: int, n_parts: int) -> int:
     return max(1, min(n_parts * BUCKETS, -(-n_shingles // BUCKET_ENTRIES)))
 
 
+def _in_groups(pairs: DataFrame, own: DataFrame, n_groups: int) -> DataFrame:
+    """(g, o, p): the pairs (a, b), p in the larger component, in groups by family.
+
+    The family of o is the largest component that it has a pair with: most
+    pairs are of a family's stragglers with its many linked members, which so
+    come together.  A family is cut into blocks by either side.
+    """
+    sizes = own.groupBy("comp").agg(F.count("*").alias("many"))
+    within = own.join(sizes, "comp").select("cls", F.struct("many", "comp").alias("family"))
+    both = pairs.join(within.toDF("a", "fa"), "a").join(within.toDF("b", "fb"), "b")
+    both = both.select(*(F.when(F.expr(test), F.struct(F.col(o).alias("o"), F.col(p).alias("p"), F.col(f).alias("family"))) for test, o, p, f in (("fa < fb", "a", "b", "fb"), ("fa >= fb", "b", "a", "fa"))))
+    both = both.select(F.coalesce(*both.columns).alias("x")).select("x.*")
+    of = both.groupBy("o").agg(F.max("family").alias("family"))
+    blocks = of.groupBy("family").agg(F.ceil(F.greatest(F.count("*"), F.col("family.many")) / BLOCK).alias("n"))
+    of = of.join(blocks, "family").select("o", "family.comp", "n")
+    side = lambda x: F.pmod(F.xxhash64(x), "n")
+    return both.select("o", "p").join(of, "o").select(F.pmod(F.xxhash64("comp", side("o"), side("p")), F.lit(n_groups)).alias("g"), "o", "p")
+
+
 def _prefix_pairs(own: DataFrame, link: Linker) -> DataFrame:
-    """Pairs (a, b) of different components that can reach the threshold: prefix filtering with positions.
+    """Pairs (a, b), of the saved classes (cls, comp, n, marks, body) in ``own``, of different components that can reach the threshold: prefix filtering with positions.
 
     With each set ordered from its rarest shingle, a linked pair shares one among
     the first n - t * n + 1 of both, and from the first shared one on, enough
@@ -398,19 +491,15 @@ def _prefix_pairs(own: DataFrame, link: Linker) -> DataFrame:
     """
     spark, num, den = own.sparkSession, link.num, link.den
     dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    own = link.scratch.save(own)
-    rows = link.scratch.save(link.sets.select("cls", F.col("n").cast("int").alias("n"), "marks", "body").join(bounded(own, own.count()), "cls"))
-    width, n_shingles = rows.agg(F.max(F.length("marks")), F.sum("n")).first()
+    width, n_shingles = own.agg(F.max(F.length("marks")), F.sum("n")).first()
     if width is None:
         return spark.createDataFrame([], "a long, b long")
     n = _n_buckets(n_shingles, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marks = rows.select("cls", "marks").mapInArrow(_with_marks(n, width), _Dealt.SCHEMA)
-    seen = dealt(rows.select("cls", "comp", "n", "body").mapInArrow(_spread(link.decode, n), _Dealt.SCHEMA)).mapInArrow(_counted(n), _Dealt.SCHEMA)
+    marks = own.select("cls", "marks").mapInArrow(_with_marks(n, width), _Dealt.SCHEMA)
+    seen = dealt(own.select("cls", "comp", "n", "body").mapInArrow(_spread(link.decode, n), _Dealt.SCHEMA)).mapInArrow(_counted(n), _Dealt.SCHEMA)
     first = dealt(seen.union(marks)).mapInArrow(_prefixes(num, den, n, width), _Dealt.SCHEMA)
     met = dealt(first).mapInArrow(_met(num, den, n, width), _Dealt.SCHEMA)
-    pairs = link.scratch.save(dealt(met).mapInArrow(_told, "a long, b long"))
-    link.scratch.drop(rows, own)
-    return pairs
+    return link.scratch.save(dealt(met).mapInArrow(_told, "a long, b long"))
 
 
 def _small_pairs(rest: DataFrame) -> DataFrame:
@@ -450,7 +539,11 @@ def link_members(members: DataFrame, sets: DataFrame, decode, scratch: Scratch,
             link.confirm(link.near(star))
             rest = link.still_open(rest.join(centre.select("key", F.col("cls").alias("centre")), "key").filter("cls <> centre").select("key", "cls"))
         # and then exactly: all that share a rare enough shingle
-        link.confirm(_prefix_pairs(rest.select("cls", "comp").distinct(), link))
+        crowded = scratch.save(rest.select("cls", "comp").distinct())
+        own = scratch.save(sets.select("cls", F.col("n").cast("int").alias("n"), "marks", "body").join(bounded(crowded, crowded.count()), "cls"))
+        pairs = _prefix_pairs(own, link)
+        link.confirm_families(pairs, own)
+        scratch.drop(crowded, own, pairs)
     scratch.drop(rest)
     return with_roots(link.labels)
 

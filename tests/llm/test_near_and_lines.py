@@ -294,3 +294,75 @@ def test_bands_are_passed_on_in_small_parts():
     parts = list(linededup._bands(4)(pa.RecordBatch.from_arrays([pa.array([t])], names=["text"]) for t in texts))
     assert max(p.nbytes for p in parts) < 5 << 20
     assert sum(len(x) for p in parts for x in p.column(1).to_pylist()) == 48_000 * linededup.BANDS * linededup._ENTRY.itemsize
+
+
+def test_candidates_leave_out_what_the_largest_component_has_among_itself():
+    """Pairs of a shingle that can reach the threshold are those of brute force, and a family of 30,000 linked classes takes no time of its square."""
+    import time
+
+    import pyarrow as pa
+
+    def met(e):
+        e["marks"] = 7
+        rows = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([e.tobytes()], pa.binary())], names=["bucket", "kind", "data"])
+        return {(int(a), int(b)) for x in linking._told(linking._met(80, 100, 1, 128)([rows])) for a, b in zip(*x.columns, strict=True)} if len(e) else set()
+
+    def as_int(pairs):
+        return {(int(a), int(b)) for a, b in pairs}
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        e = np.zeros(150, linking._placed(128))
+        e["cls"], e["h"], e["comp"] = rng.permutation(150), rng.integers(0, 4, 150), rng.integers(0, 30, 150)
+        e["n"] = rng.integers(5, 60, 150)
+        e["at"] = e["n"] * rng.random(150) * 0.3
+        e["main"] = e["comp"] == e["h"]
+        told = set()
+        for i in range(150):
+            for j in range(i):
+                x, y = e[i], e[j]
+                small, large, left = min(x["n"], y["n"]), max(x["n"], y["n"]), min(x["n"] - x["at"], y["n"] - y["at"])
+                if x["h"] == y["h"] and x["comp"] != y["comp"] and 100 * int(small) >= 80 * int(large) and int(left) * 180 >= 80 * (int(small) + int(large)):
+                    told.add((min(x["cls"], y["cls"]), max(x["cls"], y["cls"])))
+        assert met(e) == as_int(told)
+
+    e = np.zeros(30_000, linking._placed(128))
+    e["cls"], e["n"], e["main"] = np.arange(30_000), 400, True
+    e["main"][:3], e["comp"][:3] = False, (1, 2, 3)
+    began = time.thread_time()
+    assert len(met(e)) == 3 * 29_997 + 3
+    assert time.thread_time() - began < 8
+
+
+def test_bodies_of_a_family_go_to_its_groups_not_to_its_pairs(spark):
+    """Links equal brute force, and the rows with bodies follow the classes, though each straggler has a pair with each member of its family."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
+    bodies, comps = [], []
+    for family in range(3):
+        base = [rng.choice(words) for _ in range(60)]
+        for k in range(130):
+            own = list(base)
+            for _ in range(rng.randint(0, 4) if k < 100 else rng.randint(3, 12)):
+                own[rng.randrange(60)] = rng.choice(words)
+            bodies.append(" ".join(own).encode())
+            comps.append(family * 1000 if k < 100 else family * 1000 + k)
+    sets = [set(linededup.gram_sets(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0].tolist()) for b in bodies]
+    n = len(bodies)
+    pairs = [(a, b) for b in range(n) for a in range(b) if comps[a] != comps[b] and a // 130 == b // 130]
+    near = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    scratch = Scratch(spark)
+    frame = spark.createDataFrame([(k, len(s), bytearray(b)) for k, (s, b) in enumerate(zip(sets, bodies, strict=True))], "cls long, n long, body binary")
+    asked = scratch.save(spark.createDataFrame(pairs, "a long, b long"))
+    own = scratch.save(frame.join(spark.createDataFrame(list(enumerate(comps)), "cls long, comp long"), "cls"))
+    link = linking.Linker(frame, linededup.gram_sets, scratch, 80, 100)
+    told = []
+    link.link = lambda links, rounds=None: told.extend(links.collect())
+    link.confirm_families(asked, own)
+    assert {(min(r), max(r)) for r in told} == near and 50 < len(near) < len(pairs)
+
+    groups = linking._in_groups(asked, own, 12).collect()
+    assert {(min(r.o, r.p), max(r.o, r.p)) for r in groups} == set(pairs) and len(groups) == len(pairs) > 9000
+    sent = {(r.g, x) for r in groups for x in (r.o, r.p)}
+    assert len(sent) < 3 * n
+    link.confirm_families(asked.limit(0), own)  # nothing to confirm
