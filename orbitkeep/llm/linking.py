@@ -31,7 +31,7 @@ BUCKET_ENTRIES, BUCKETS = 1 << 14, 8
 #: Candidates that a task looks at, at once.
 CANDIDATES = 1 << 14
 #: Classes of a family on either side of a block of pairs, and pairs that groups of smaller blocks are filled with.
-BLOCK, GROUP_PAIRS = 1 << 10, 1 << 15
+BLOCK, GROUP_PAIRS = 1 << 10, 1 << 12
 #: Rounds of union-find between two comparisons of which the second only profits from labels.
 ROUNDS = 2
 
